@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltwork.llm import langid, pieces, pstable, quality, simhash
+from siltwork.llm import avi, edits, langid, pieces, pstable, quality, simhash
 from siltwork.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False)
 
 
+def op6_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.text_media(table(spark, sf_dir, "documents"), keep_media=False)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn(docs)).drop("proportions")
@@ -37,8 +41,14 @@ def op9_embedding_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return edits.count_edits(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op5_sentencepiece, op7_language_id, op8_simhash, op9_embedding_pstable]
+    found = [op1_quality, op5_sentencepiece, op6_avi, op7_language_id, op8_simhash, op9_embedding_pstable, op10_edit_counts]
     return {f.__name__: f for f in found}
 
 
