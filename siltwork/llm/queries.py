@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltwork.llm import avi, edits, langid, pieces, pstable, quality, simhash
+from siltwork.llm import avi, edits, langid, mixing, pieces, pstable, quality, simhash
 from siltwork.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False)
 
@@ -48,7 +53,7 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op5_sentencepiece, op6_avi, op7_language_id, op8_simhash, op9_embedding_pstable, op10_edit_counts]
+    found = [op1_quality, op4_mixing, op5_sentencepiece, op6_avi, op7_language_id, op8_simhash, op9_embedding_pstable, op10_edit_counts]
     return {f.__name__: f for f in found}
 
 
