@@ -1,8 +1,57 @@
-"""The corpus pipeline; stages are added as their operators are finished."""
+"""The corpus pipeline: five stages from raw documents to token ids, each written before the next one reads it.
 
-STAGES = []
+Stages take (spark, docs, sf_dir) and return a frame; all but the last return the columns of documents. Rejected
+documents are gone for good. Labels come from ``labels`` in ``sf_dir``; models are trained on the stage's own input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siltwork.llm import langid, mixing, pieces, quality, simhash
+from siltwork.llm.common import saved, table
+from siltwork.llm.queries import tokenizer_file
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a main language stay; texts without letters and texts that fit no language go."""
+    return langid.keep_known(docs, langid.learn(docs))
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as good stay."""
+    return quality.keep_good(docs, quality.train(quality.labelled_rows(docs, table(spark, sf_dir, "labels"))))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays (four-word shingles, four bits, as the operator's contract has it)."""
+    return simhash.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to target weights takes them; some not at all."""
+    return mixing.apply_mix(docs, mixing.mix(docs))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, with digests of ids and decoded text."""
+    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("quality_classifier", classify),
+    ("simhash_near_dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
+
+#: Trained models, random rounding and hashes of shingles aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -87,6 +87,18 @@ def map_texts(df: DataFrame, schema: T.StructType | str, make: Callable[[], Call
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_column: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose text passes a test, columns untouched; a narrow pass. ``make`` is called once per task."""
+    place = df.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t.as_py()) for t in batch.column(place)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def slices(batch: pa.RecordBatch, text_column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``limit`` bytes of text, one row at least."""
     import pyarrow.compute as pc

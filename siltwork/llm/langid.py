@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import fold, map_texts, slices
+from siltwork.llm.common import fold, keep_rows, map_texts, slices
 
 OTHER = re.compile(r"[\W\d_]+")
 SAMPLE, BITS, UNKNOWN = 1_500, 15, "und"
@@ -143,3 +143,20 @@ def identify(docs: DataFrame, languages: Languages, id_column: str = "doc_id", t
 
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), (fold(id_column, 4) == 2).alias("held_out"))
     return map_texts(rows, f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double, proportions map<string,double>", make)
+
+
+def keep_known(docs: DataFrame, languages: Languages, least: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose main language makes up ``least`` of the text or more, columns untouched."""
+    shared = docs.sparkSession.sparkContext.broadcast(languages)
+
+    def make():
+        known = shared.value
+        bits = int(np.log2(known.chances.shape[1]))
+
+        def passes(text: str | None) -> bool:
+            name, share, _ = known.judge(text, bits)
+            return name != UNKNOWN and share >= least
+
+        return passes
+
+    return keep_rows(docs, text_column, make)

@@ -323,7 +323,7 @@ class AgendaEncoder:
 
 
 def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
-    """(id, ids array<long>, n_tokens, ids_sha256, decoded_sha256) of every text; ``keep_ids=False`` leaves ids out."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, ids array<int>) of every text; ``keep_ids=False`` leaves ids out."""
 
     def make():
         encoder = AgendaEncoder(model)
@@ -335,11 +335,11 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
                 for key, ids in zip(part.column(0).to_pylist(), encoded):
                     decoded = encoder.decode(ids).encode()
                     row = (key, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    yield row + (np.frombuffer(ids, "<u4").tolist(),) if keep_ids else row
+                    yield row + (np.frombuffer(ids, "<u4").astype(np.int32),) if keep_ids else row
 
         return kernel
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if keep_ids else "")
+    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
     return map_texts(rows, schema, make)

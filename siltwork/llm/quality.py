@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import TwoGenerationCache, fold, map_texts, saved, slices
+from siltwork.llm.common import TwoGenerationCache, fold, keep_rows, map_texts, saved, slices
 
 TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 SAMPLE, BITS, EPOCHS = 12_000, 18, 3
@@ -163,3 +163,20 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Train on the labelled rows outside fold 1 and score every document."""
     return score(docs, train(labelled_rows(docs, labels, sample), sample))
+
+
+def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, columns untouched."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def make():
+        w = shared.value
+        features = Features(int(np.log2(len(w))))
+
+        def passes(text: str | None) -> bool:
+            places, values = features(text)
+            return sigmoid(float(w[places] @ values)) >= least
+
+        return passes
+
+    return keep_rows(docs, text_column, make)

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltwork.llm.common import map_texts, saved, slices
@@ -203,3 +203,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_column:
     groups = saved(near_groups(rows, radius), "simhash-groups")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(groups, "fp").select(F.col("id").alias(id_column), digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, radius: int = 4, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: the one whose id is the component's; columns untouched.
+
+    Rows that repeat id and text count as one.
+    """
+    found = near_duplicates(docs, radius, words, id_column, text_column)
+    kept = saved(found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_kept")).distinct(), "simhash-kept")
+    joined = docs.join(kept, F.expr(f"`{id_column}` <=> _kept"))
+    turn = F.row_number().over(Window.partitionBy("_kept", F.xxhash64(F.col(text_column))).orderBy("_kept"))
+    return joined.withColumn("_turn", turn).where("_turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
