@@ -163,11 +163,11 @@ def apply_mix(docs: DataFrame, decisions: DataFrame, id_column: str = "doc_id",
 
     Rows of equal id and text share their copies evenly, whatever row they came from.
     """
-    shared = decisions.groupBy(F.col(id_column).alias("_id"), F.col("salt").alias("_salt")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    salted = docs.withColumn("_text_salt", F.xxhash64(F.col(text_column)))
-    joined = salted.join(saved(shared, "mixing-copies"), F.expr(f"`{id_column}` <=> _id and _text_salt <=> _salt"))
-    turn = F.row_number().over(Window.partitionBy("_id", "_salt").orderBy("_copies"))
-    times = F.expr("cast(_copies div _rows as int)") + (turn <= F.expr("_copies % _rows")).cast("int")
-    rows = joined.withColumn("_times", F.when(F.col("_rows") == 1, F.col("_copies").cast("int")).otherwise(times))
-    rows = rows.where("_times > 0")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_k")).drop("_k")
+    shared = decisions.groupBy(F.col(id_column).alias("__sw_id"), F.col("salt").alias("__sw_salt")).agg(F.sum("copies").alias("__sw_copies"), F.count(F.lit(1)).alias("__sw_rows"))
+    salted = docs.withColumn("__sw_text", F.xxhash64(F.col(text_column)))
+    joined = salted.join(saved(shared, "mixing-copies"), F.expr(f"`{id_column}` <=> __sw_id and __sw_text <=> __sw_salt"))
+    turn = F.row_number().over(Window.partitionBy("__sw_id", "__sw_salt").orderBy("__sw_copies"))
+    times = F.expr("cast(__sw_copies div __sw_rows as int)") + (turn <= F.expr("__sw_copies % __sw_rows")).cast("int")
+    rows = joined.withColumn("__sw_times", F.when(F.col("__sw_rows") == 1, F.col("__sw_copies").cast("int")).otherwise(times))
+    rows = rows.where("__sw_times > 0")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__sw_times"))).alias("__sw_k")).drop("__sw_k")

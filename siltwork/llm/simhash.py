@@ -211,7 +211,7 @@ def keep_first(docs: DataFrame, radius: int = 4, words: int = 4, id_column: str
     Rows that repeat id and text count as one.
     """
     found = near_duplicates(docs, radius, words, id_column, text_column)
-    kept = saved(found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_kept")).distinct(), "simhash-kept")
-    joined = docs.join(kept, F.expr(f"`{id_column}` <=> _kept"))
-    turn = F.row_number().over(Window.partitionBy("_kept", F.xxhash64(F.col(text_column))).orderBy("_kept"))
-    return joined.withColumn("_turn", turn).where("_turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = saved(found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("__sw_kept")).distinct(), "simhash-kept")
+    joined = docs.join(kept, F.expr(f"`{id_column}` <=> __sw_kept"))
+    turn = F.row_number().over(Window.partitionBy("__sw_kept", F.xxhash64(F.col(text_column))).orderBy("__sw_kept"))
+    return joined.withColumn("__sw_turn", turn).where("__sw_turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -107,7 +107,7 @@ class Writer:
     def put(self, data: bytes) -> None:
         if self.out is None:
             self.name = f"{self.prefix}-{len(self.done):04d}.warc.zst"
-            self.out, self.records, self.bytes = self.files.open_output_stream(f"{self.folder}/{self.name}"), 0, 0
+            self.out, self.records, self.bytes = self.files.open_output_stream(f"{self.folder}/{self.name}", compression=None), 0, 0
             for part in (dictionary_frame(self.dictionary), self.compressor.compress(info_record(self.name))):
                 self.bytes += self.out.write(part) or len(part)
         frame = self.compressor.compress(data)
@@ -215,7 +215,7 @@ def read(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
         def kernel(batch: pa.RecordBatch):
             for folder, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 files, path = file_system(folder)
-                with files.open_input_stream(f"{path}/{name}") as file:
+                with files.open_input_stream(f"{path}/{name}", compression=None) as file:
                     for r in read_records(file):
                         h = r.headers
                         if h["warc-type"] == "warcinfo":
