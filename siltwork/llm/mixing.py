@@ -12,7 +12,8 @@ conserved in each step. Documents meet in groups of about ``GROUP`` of like hash
 most, and the leftovers meet again in ever fewer groups: a reduction tree of about log(n) / log(GROUP) levels, each
 written to the shared folder. The last fraction of a source is drawn. So that a long document drawn last does not
 spoil a source's total, this is done for documents over the source's mean size first, then for those over an eighth of
-it, then for the rest; what the draw of one tier gave too much or too little shifts the fractions of the next tier. No group
+it, then for the rest; what the draw of one tier gave too much or too little shifts
+the wanted copies of the next tier, within 0 and ``CAP``. No group
 grows with its source, so one source may hold any share of the rows. Random draws are hashes of the two ids and
 ``seed``; reruns agree.
 
@@ -107,8 +108,7 @@ def mix(docs: DataFrame, seed: int = 20, id_column: str = "doc_id", text_column:
     of_source = wanted.withColumnRenamed("source", "s")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = rows.join(of_source, F.expr("source <=> s")).withColumn("want", want)
-    units = units.withColumn("base", F.least(F.floor(F.col("want") + F.lit(1e-12)), F.lit(CAP)).cast("int"))
-    units = units.withColumn("part", F.greatest(F.lit(0.0), F.col("want") - F.col("base")))
+    units = _split(units)
     mean = F.col("source_size") / F.col("n")
     tier = F.when(F.col("size") > mean, 0).when(F.col("size") > mean / 8, 1).otherwise(2)
     units = units.withColumn("tier", tier)
@@ -129,7 +129,8 @@ def _round_tier(units: DataFrame, owed: DataFrame, seed: int, most: int) -> tupl
     due = saved(owed.withColumnRenamed("source", "s"), "mixing-owed")
     room = saved(units.groupBy("source").agg(F.sum(F.col("size").cast("double")).alias("mass")).join(due, F.expr("source <=> s"), "right").select("s", "owed", F.coalesce("mass", F.lit(0.0)).alias("mass")), "mixing-room")
     shift = F.when(F.col("mass") > 0, F.col("owed") / F.col("mass")).otherwise(F.lit(0.0))
-    moved = units.join(room, F.expr("source <=> s")).withColumn("part", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part") + shift))).select(*UNITS)
+    shifted = units.join(room, F.expr("source <=> s")).withColumn("want", F.greatest(F.lit(0.0), F.least(F.lit(float(CAP)), F.col("base") + F.col("part") + shift)))
+    moved = _split(shifted).select(*UNITS)
     settled = (F.col("part") <= 1e-9) | (F.col("part") >= 1 - 1e-9) | (F.col("size") == 0)
     done, open_units, level = [moved.where(settled)], moved.where(~settled), 0
     while most:
@@ -143,7 +144,7 @@ def _round_tier(units: DataFrame, owed: DataFrame, seed: int, most: int) -> tupl
         if last:
             break
         open_units, level = after.where(~settled), level + 1
-    words_of = lambda df, name: df.groupBy("source").agg(F.sum(F.col("part") * F.col("size")).alias(name))
+    words_of = lambda df, name: df.groupBy("source").agg(F.sum((F.col("base") + F.col("part")) * F.col("size")).alias(name))
     wished = words_of(units, "wished").withColumnRenamed("source", "w")
     given = words_of(done[0] if len(done) == 1 else _union(done), "given").withColumnRenamed("source", "g")
     rest = room.join(wished, F.expr("s <=> w"), "left").join(given, F.expr("s <=> g"), "left")
@@ -151,6 +152,12 @@ def _round_tier(units: DataFrame, owed: DataFrame, seed: int, most: int) -> tupl
     return done, owed
 
 
+def _split(rows: DataFrame) -> DataFrame:
+    """``want`` copies as a whole ``base`` and a fraction ``part``."""
+    rows = rows.withColumn("base", F.least(F.floor(F.col("want") + F.lit(1e-12)), F.lit(CAP)).cast("int"))
+    return rows.withColumn("part", F.greatest(F.lit(0.0), F.col("want") - F.col("base")))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
