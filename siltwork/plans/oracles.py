@@ -226,6 +226,7 @@ SQL["token_counts_words"] = r"SELECT doc_id, len(list_filter(regexp_split_to_arr
 SQL["list_split"] = "SELECT * FROM (VALUES (0, 0, 'Install Go'), (0, 1, 'Configure GOPATH'), (0, 2, 'Run go test'), (1, 0, 'first'), (1, 1, 'second'), (1, 2, 'third'), (2, 0, ';'), (3, 0, '- + 2. x')) t(id, pos, item)"
 SQL["table_lines"] = "SELECT id::INT AS id, id IN (6, 8, 11, 15) AS is_table FROM (SELECT unnest(range(16)) AS id)"
 SQL["list_item_lines"] = "SELECT id::INT AS id, CASE id WHEN 0 THEN 'first' WHEN 1 THEN 'second' WHEN 2 THEN 'third' WHEN 3 THEN 'install dependencies' WHEN 14 THEN '' END AS item FROM (SELECT unnest(range(16)) AS id)"
+SQL["normalize_markdown"] = "SELECT id::INT AS id, ['- first', '* second', '+ third', '10. install dependencies', '3.x', '-x', '| a | b |', '| grep main', '| ---- | ---- |', '|---|', 'a --- b', '| --- | :---: |', 'see the docs now', 'text with spaces', '1.', '|a|b|'][id + 1] AS text FROM (SELECT unnest(range(16)) AS id)"
 SQL["context_prefix"] = "SELECT * FROM (VALUES (0, E'Document: Guide\\nSection: A > B\\n\\n'), (1, E'Document: Guide\\n\\n'), (2, E'Section: A\\n\\n'), (3, '')) t(id, prefix)"
 SQL["flatten_messages"] = "SELECT conv_id, string_agg(CASE WHEN trim(coalesce(role, '')) = '' THEN 'USER' ELSE upper(trim(role)) END || ':' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS prompt FROM conversations GROUP BY conv_id"
 SQL["prompt_build"] = """WITH p AS (SELECT conv_id, turn, '[' || (turn + 1) || '] Title: ' || CASE WHEN turn % 2 = 0 AND trim(role) <> '' THEN role WHEN turn % 3 = 0 THEN 'doc' ELSE '(untitled)' END || chr(10) || 'URL: https://example.com' || chr(10) ||
@@ -234,6 +235,14 @@ SELECT conv_id, 'Question: What is this about?' || chr(10) || chr(10) || 'Contex
 
 # --- streams ---
 SQL["stream_arrivals"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type, date_trunc('day', ts)"
+_FOLD = """WITH f AS (SELECT source_id, count(*) AS n, list_reduce(list(version ORDER BY id), lambda a, x: CASE WHEN x = a THEN a + 1 ELSE a END, 1) AS v FROM v_jobs GROUP BY source_id)"""
+SQL["version_fold"] = _FOLD + " SELECT source_id, (v - 1)::BIGINT AS applied, (n - v + 1)::BIGINT AS stale, v::INT AS version FROM f"
+SQL["stream_claim_fold"] = _FOLD + " SELECT source_id, (v - 1)::BIGINT AS applied, v::INT AS version FROM f"
+_FILLED = "CASE WHEN a.last IS NULL OR x.last - a.last > 180 THEN 4.0::DOUBLE ELSE least(4.0::DOUBLE, a.tokens + (x.last - a.last) * 2) END"
+SQL["rate_limit_fold"] = f"""WITH l AS (SELECT user_id AS key, count(*) AS n, list({{'tokens': 0::DOUBLE, 'last': event_id * 0.25::DOUBLE, 'allowed': 0::BIGINT}} ORDER BY event_id) AS l FROM events GROUP BY user_id),
+r AS (SELECT key, n, list_reduce(l, lambda a, x: {{'tokens': {_FILLED} - CASE WHEN {_FILLED} >= 1 THEN 1 ELSE 0 END, 'last': x.last, 'allowed': a.allowed + CASE WHEN {_FILLED} >= 1 THEN 1 ELSE 0 END}},
+{{'tokens': 4::DOUBLE, 'last': NULL::DOUBLE, 'allowed': 0::BIGINT}}) AS s FROM l)
+SELECT key, s.allowed AS allowed, n - s.allowed AS refused FROM r"""
 SQL["reclaim_round"] = f"WITH s AS (SELECT CASE WHEN {_STUCK_JOB} THEN CASE WHEN attempts + 1 >= max_attempts THEN 'dead' ELSE 'failed' END ELSE status END AS status FROM v_jobs) SELECT status, count(*) AS n FROM s GROUP BY status"
 
 
