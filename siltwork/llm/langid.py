@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import fold, keep_rows, map_texts, slices
+from siltwork.llm.common import fold, keep_rows, map_texts, saved, slices
 
 OTHER = re.compile(r"[\W\d_]+")
 SAMPLE, BITS, UNKNOWN = 1_500, 15, "und"
@@ -101,7 +101,7 @@ class Languages:
 def learn(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, held_out: int = 2) -> Languages:
     """Languages from (doc_id, text, lang), outside the held-out fold."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != held_out))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = saved(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")  # a known size, so that texts aren't shuffled for the join
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taken = known.join(sizes, "lang").where(place * F.col("n") < sample).select("lang", "text")
 
