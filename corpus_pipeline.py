@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltwork.llm import langid, mixing, pieces, quality, simhash
+from siltwork.llm import jaccard, langid, mixing, pieces, quality
 from siltwork.llm.common import saved, table
 from siltwork.llm.queries import tokenizer_file
 
@@ -24,8 +24,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays (four-word shingles, four bits, as the operator's contract has it)."""
-    return simhash.keep_first(docs)
+    """One document of each group stays whose five-word shingles link at a Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_first(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

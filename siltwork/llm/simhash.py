@@ -210,7 +210,11 @@ def keep_first(docs: DataFrame, radius: int = 4, words: int = 4, id_column: str
 
     Rows that repeat id and text count as one.
     """
-    found = near_duplicates(docs, radius, words, id_column, text_column)
+    return keep_component_ids(docs, near_duplicates(docs, radius, words, id_column, text_column), id_column, text_column)
+
+
+def keep_component_ids(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id is its component_id in ``found``; rows that repeat id and text count as one."""
     kept = saved(found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("__sw_kept")).distinct(), "simhash-kept")
     joined = docs.join(kept, F.expr(f"`{id_column}` <=> __sw_kept"))
     turn = F.row_number().over(Window.partitionBy("__sw_kept", F.xxhash64(F.col(text_column))).orderBy("__sw_kept"))
