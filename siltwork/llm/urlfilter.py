@@ -4,8 +4,9 @@ Rules: the longest rule whose host is the url's host or a parent domain of it, a
 decides. Method: hosts that a page links to make weighted host edges (absolute, protocol-relative and relative links;
 the page's own host is the source). Personalised PageRank spreads trust from the hosts of pages that an allow rule
 judged, along links; distrust spreads from the hosts of blocked pages against the links, so hosts that link to
-blocked ones are distrusted. A host is blocked if its distrust is over ``threshold`` times its trust and over a
-uniform share; a page without a rule gets its host's verdict.
+blocked ones are distrusted. A host seeds the share of its judged pages that were allowed or blocked, so its number of
+pages has no weight. A host is blocked if its distrust is over ``threshold`` times its trust; one that no rule judged,
+which knows distrust from links only, must also have over a uniform share. A page without a rule gets its host's verdict.
 
 At scale: links are counted per pair of hosts before anything is joined, so a host with a third of all pages is one
 node; a round is one join of ranks with edges and one pre-aggregated sum, written to the shared folder. Edges are
@@ -100,13 +101,16 @@ def host_verdicts(pages: DataFrame, threshold: float = 1.0, rounds: int = 20) ->
     seen = saved(pages.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").cast("double").alias("allowed"), F.count_if(F.col("verdict") == "block").cast("double").alias("blocked")), "url-hosts")
     nodes = seen.select("host").union(edges.select("a")).union(edges.select("b")).distinct()
     nodes = saved(nodes, "url-nodes")
-    trust = spread(edges, nodes, seen.where("allowed > 0").select("host", F.col("allowed").alias("weight")), rounds, name="trust")
+    judged = F.col("allowed") + F.col("blocked")
+    trust = spread(edges, nodes, seen.where("allowed > 0").select("host", (F.col("allowed") / judged).alias("weight")), rounds, name="trust")
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
-    distrust = spread(turned, nodes, seen.where("blocked > 0").select("host", F.col("blocked").alias("weight")), rounds, name="distrust")
+    distrust = spread(turned, nodes, seen.where("blocked > 0").select("host", (F.col("blocked") / judged).alias("weight")), rounds, name="distrust")
     n = max(nodes.count(), 1)
     both = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host")
-    bad = (F.col("distrust") > F.lit(threshold) * F.col("trust")) & (F.col("distrust") > F.lit(1.0 / n))
-    return both.withColumn("host_verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
+    both = both.join(seen.select("host", (judged > 0).alias("__sw_judged")), "host", "left")
+    enough = F.coalesce("__sw_judged", F.lit(False)) | (F.col("distrust") > F.lit(1.0 / n))
+    bad = (F.col("distrust") > F.lit(threshold) * F.col("trust")) & enough
+    return both.withColumn("host_verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).drop("__sw_judged")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, threshold: float = 1.0, rounds: int = 20, id_column: str = "page_id") -> DataFrame:

@@ -166,6 +166,16 @@ def test_ranks_equal_brute_force(spark):
             assert r.verdict == ("block" if distrust[at[h]] > trust[at[h]] and distrust[at[h]] > 1 / len(names) else "allow")
 
 
+def test_small_bad_hosts_beside_a_hot_one(spark):
+    urls = ["http://hot.com/de/"] * 300 + ["http://hot.com/fr/"] * 100 + ["http://hot.com/x"]
+    for k in range(8):
+        urls += [f"http://bad{k}.com/de/"] * 2 + [f"http://bad{k}.com/x", f"http://good{k}.com/x"] + [f"http://good{k}.com/fr/"] * 3 + [f"http://good{k}.com/de/"]
+    urls += [f"http://other{k}.net/x" for k in range(40)]
+    pages = spark.createDataFrame([(k, u, "") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    out = {r.host: r.verdict for r in urlfilter.filter_urls(pages).where("rule is null").collect()}
+    assert {h for h, v in out.items() if v == "block"} == {"hot.com"} | {f"bad{k}.com" for k in range(8)} and len(out) == 57
+
+
 def test_urls_of_an_empty_table(spark):
     assert urlfilter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
