@@ -80,7 +80,7 @@ def op9_embedding_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return edits.count_edits(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
+    return edits.count_edits(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
