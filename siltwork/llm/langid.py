@@ -8,7 +8,9 @@ the trigram count for each language; trigrams overlap, so the likelihood counts
 
 Training is on about ``sample`` documents of each language (documented bound, 1,500 by default): a document is taken
 if the hash of its id falls under ``sample / n_of_its_language``. Trigram counts are summed by Spark; what reaches
-the driver is one row of at most ``2**bits`` counts a language.
+the driver, and each task, is one row of at most ``2**bits`` counts a language, 256 KB. There may be ``most``
+languages (512 by default, 128 MB); a column with more values than that isn't one of languages and raises
+``ValueError``.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; one- and two-letter texts are padded
 with spaces and judged; whole texts count, however long; ties go to the language first by name; repeated rows are
@@ -30,31 +32,33 @@ from siltwork.llm.common import fold, keep_rows, map_texts, saved, slices
 
 OTHER = re.compile(r"[\W\d_]+")
 SAMPLE, BITS, UNKNOWN = 1_500, 15, "und"
-WINDOW = 1 << 20
+WINDOW, MOST = 1 << 20, 512
 
 
-def trigrams(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Places and counts of the trigrams; empty if there is no letter. Long texts are counted in windows."""
-    total: np.ndarray | None = None
-    text = text or ""
-    if len(text) > WINDOW:
-        total = np.zeros(1 << bits, np.int64)
-        for start in range(0, len(text), WINDOW):
-            places, counts = _trigrams(text[max(0, start - 2) : start + WINDOW], bits)
-            total[places] += counts
-        places = np.flatnonzero(total)
-        return places, total[places]
-    return _trigrams(text, bits)
+def trigrams(text: str | None, bits: int = BITS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Places and counts of the trigrams; empty if there is no letter.
 
-
-def _trigrams(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    words = OTHER.sub(" ", text.lower()).strip()
+    The text is normalised as a whole, in strings; only the arrays of numbers are made for ``window`` characters at a
+    time, each with the two characters that follow, so the counts don't depend on it.
+    """
+    words = OTHER.sub(" ", (text or "").lower()).strip()
     if not any(map(str.isalpha, words)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    points = np.frombuffer(f" {words} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    words = f" {words} "
+    if len(words) <= window + 2:
+        return np.unique(_places(words, bits), return_counts=True)
+    total = np.zeros(1 << bits, np.int64)
+    for start in range(0, len(words) - 2, window):
+        total += np.bincount(_places(words[start : start + window + 2], bits), minlength=1 << bits)
+    places = np.flatnonzero(total)
+    return places, total[places]
+
+
+def _places(words: str, bits: int) -> np.ndarray:
+    points = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     mixed = (points[:-2] * np.uint64(0x9E3779B1) + points[1:-1]) * np.uint64(0x85EBCA77) + points[2:]
     mixed *= np.uint64(0x9E3779B97F4A7C15)
-    return np.unique((mixed >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
@@ -98,10 +102,12 @@ class Languages:
         return self.names[chosen[best]], float(min(1.0, share[best])), names
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, held_out: int = 2) -> Languages:
+def learn(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, held_out: int = 2, most: int = MOST) -> Languages:
     """Languages from (doc_id, text, lang), outside the held-out fold."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != held_out))
     sizes = saved(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")  # a known size, so that texts aren't shuffled for the join
+    if sizes.count() > most:
+        raise ValueError(f"more than {most} languages")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taken = known.join(sizes, "lang").where(place * F.col("n") < sample).select("lang", "text")
 
@@ -127,7 +133,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, held_out: int
 def identify(docs: DataFrame, languages: Languages, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score, proportions map) of every row."""
     kind = docs.schema[id_column].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(languages)  # 256 KB a language
+    shared = docs.sparkSession.sparkContext.broadcast(languages)  # 256 KB a language, which ``learn`` bounds
 
     def make():
         known = shared.value
