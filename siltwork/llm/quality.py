@@ -5,9 +5,10 @@ word shapes (case, digits, the mark itself, or "same as the word before"). Value
 to unit length, so texts of any length compare. Labels, language, source and id are never features.
 
 Training takes at most about ``sample`` labelled rows (documented bound, 12,000 by default): a labelled row is taken
-if the hash of its id falls under ``sample / n_labelled``, which doesn't depend on partitioning. The rows go through
-one task in the order of that hash, which bounds its work by ``sample``; the weights (``2**bits`` floats, 1 MB) are all
-that reaches the driver. Scoring is a narrow pass over whole texts.
+if the hash of its id falls under ``sample / n_labelled``, which doesn't depend on partitioning. Where ids repeat, more
+rows can be taken; of those the first ``most`` in the order of the hash are learned from (documented bound, 24,000 by
+default). The rows go through one task in that order; the weights (``2**bits`` floats, 1 MB) are all that reaches the
+driver. Scoring is a narrow pass over whole texts.
 
 Defined cases: null or empty texts score the bias alone; labels outside {0, 1} and null labels are not learned from; with no
 labelled rows every score is 0.5; repeated rows are scored each; an empty table gives an empty table; extra columns
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from siltwork.llm.common import TwoGenerationCache, fold, keep_rows, map_texts, saved, slices
 
 TOKENS = re.compile(r"\w+|[^\w\s]+").findall
-SAMPLE, BITS, EPOCHS = 12_000, 18, 3
+SAMPLE, MOST, BITS, EPOCHS = 12_000, 24_000, 18, 3
 
 
 def shape(token: str) -> int:
     if not token[0].isalnum() and token[0] != "_":
-        return 16 + zlib.crc32(token[:8].encode()) % 4000
+        return 16 + zlib.crc32(token.encode()) % 4000
     if token.isdigit():
         return 1
     if token.islower():
@@ -108,8 +109,8 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from rows (key, text, label); at most about ``sample`` rows are expected here."""
+def train(labelled: DataFrame, most: int = MOST, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights from rows (key, text, label), the first ``most`` by hash of their key."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, leader, rows = Features(bits), Leader(bits), []
@@ -122,7 +123,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: i
                 leader.learn(places, values.astype(float), label)
         yield pa.RecordBatch.from_pydict({"weights": [leader.weights().astype("<f4").tobytes()]})
 
-    ordered = labelled.orderBy(F.xxhash64("key"), "key", "label", F.xxhash64("text")).limit(2 * sample)
+    ordered = labelled.orderBy(F.xxhash64("key"), "key", "label", F.xxhash64("text")).limit(most)
     rows = ordered.select("text", "label").coalesce(1).mapInArrow(fit, "weights binary").collect()
     return np.frombuffer(rows[0][0], "<f4").astype(float) if rows else np.zeros(1 << bits)
 
@@ -162,7 +163,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Train on the labelled rows outside fold 1 and score every document."""
-    return score(docs, train(labelled_rows(docs, labels, sample), sample))
+    return score(docs, train(labelled_rows(docs, labels, sample)))
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, least: float = 0.5, text_column: str = "text") -> DataFrame:

@@ -1,7 +1,8 @@
 """WARC archives with dictionary-compressed records.
 
-A Zstandard dictionary is built from archived records (at most about ``SAMPLE`` of them and ``SAMPLE_BYTES`` bytes,
-chosen by the hash of the payload: a documented bound for the dictionary alone). Every archive starts with a
+A Zstandard dictionary is built from archived records: about ``SAMPLE`` of them, chosen by the hash of id and payload
+(documented bounds, for the dictionary alone: repeated rows count once, at most ``4 * SAMPLE`` records and
+``SAMPLE_BYTES`` bytes, and of a record over ``PART`` bytes eight slices spread over all of it). Every archive starts with a
 skippable frame that holds the dictionary, compressed; then each record is a frame of its own. Of equal payloads of
 at least ``LEAST`` bytes the one with the smallest id is a response, the others are revisit records without a payload.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from siltwork.llm.common import map_texts, saved, scratch_path
 
 MAGIC = 0x184D2A5D
-LEAST, SAMPLE, SAMPLE_BYTES, DICTIONARY, ARCHIVE = 100, 1_000, 16 << 20, 112 << 10, 64 << 20
+LEAST, SAMPLE, SAMPLE_BYTES, PART, DICTIONARY, ARCHIVE = 100, 1_000, 16 << 20, 128 << 10, 112 << 10, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -164,23 +165,32 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
 
+def slices_of(data: bytes, size: int = PART) -> bytes:
+    """``data``, or eight slices of ``size / 8`` bytes from its beginning to its end."""
+    if len(data) <= size:
+        return data
+    width = size // 8
+    return b"".join(data[(at := (len(data) - width) * k // 7) : at + width] for k in range(8))
+
+
 def build_dictionary(pages: DataFrame, sample: int = SAMPLE) -> bytes:
     """Trained in one task on records of a bounded sample of pages."""
     n = pages.count()
-    place = F.pmod(F.xxhash64("html", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = pages.where(place < F.lit(sample / max(n, 1))).select("page_id", "url", "html")
+    mixed = F.xxhash64("page_id", "html", F.lit(3))
+    place = F.pmod(mixed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    taken = pages.where(place < F.lit(sample / max(n, 1))).select("page_id", "url", "html").dropDuplicates(["page_id", "html"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records, held = [], 0
         for batch in batches:
-            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                data = (html or "").encode()
-                if held < SAMPLE_BYTES and len(records) < 4 * sample:
-                    records.append(record(page_id, url, data, hashlib.sha256(data).hexdigest())[:128 << 10])
+            for page_id, url, html in zip(*batch.columns):
+                if held < SAMPLE_BYTES:
+                    data = (html.as_py() or "").encode()
+                    records.append(slices_of(record(page_id.as_py(), url.as_py(), data, hashlib.sha256(data).hexdigest())))
                     held += len(records[-1])
         yield pa.RecordBatch.from_pydict({"dictionary": [train(records or [record(None, None, b"", "")])]})
 
-    rows = taken.orderBy(F.xxhash64("html", F.lit(3)), "page_id").coalesce(1).mapInArrow(fit, "dictionary binary").collect()
+    rows = taken.orderBy(mixed, "page_id").limit(4 * sample).coalesce(1).mapInArrow(fit, "dictionary binary").collect()
     return rows[0][0] if rows else train([record(None, None, b"", "")])
 
 
