@@ -5,15 +5,18 @@ decides. Method: hosts that a page links to make weighted host edges (absolute,
 the page's own host is the source). Personalised PageRank spreads trust from the hosts of pages that an allow rule
 judged, along links; distrust spreads from the hosts of blocked pages against the links, so hosts that link to
 blocked ones are distrusted. A host seeds the share of its judged pages that were allowed or blocked, so its number of
-pages has no weight. A host is blocked if its distrust is over ``threshold`` times its trust; one that no rule judged,
-which knows distrust from links only, must also have over a uniform share. A page without a rule gets its host's verdict.
+pages has no weight. Ranks are in units of one wholly judged host: they aren't divided by the number of seeds or hosts,
+so hosts that no link joins with a host don't move its verdict, and trust and distrust compare whatever the number of
+their seeds. A host is blocked if its distrust is over ``threshold`` times its trust (equal: allowed) and ``floor`` (0.01) of a
+judged host or more. A page without a rule gets its host's verdict.
 
 At scale: links are counted per pair of hosts before anything is joined, so a host with a third of all pages is one
 node; a round is one join of ranks with edges and one pre-aggregated sum, written to the shared folder. Edges are
 never collected.
 
 Defined cases: null urls and urls without ``://`` have empty host and path and, as any host without links and
-seeds, verdict allow; null html has no links; repeated rows are judged each and count once more as links; an empty
+seeds, verdict allow; null html has no links; html of any length is searched whole, in linear time; rules of equal
+length that fit a url are taken in their order; repeated rows are judged each and count once more as links; an empty
 table gives an empty table; extra columns don't reach the result and may have any name.
 """
 
@@ -62,7 +65,7 @@ def judge(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(a, b, weight): links from pages of host a to host b; (host, url, html) in, self-links out."""
-    links = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
+    links = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<a\s[^<>]*?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""), F.lit(1))
     target = F.translate(F.regexp_extract("link", r"//([^/?#]*)", 1), UPPER, LOWER)
     found = pages.select(F.col("host").alias("a"), F.explode(links).alias("link")).select("a", target.alias("b"))
     return found.where("a <> b and a <> '' and b <> ''").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
@@ -71,11 +74,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def spread(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, rounds: int = 20, damping: float = 0.85, name: str = "rank") -> DataFrame:
     """Personalised PageRank (host, rank) over edges (a, b, weight) from seeds (host, weight); without seeds all ranks are 0.
 
-    What nodes without outgoing edges hold goes back to the seeds.
+    Ranks sum to the seeds' weights. What nodes without outgoing edges hold goes back to the seeds.
     """
     total = seeds.agg(F.sum("weight")).first()[0] or 0.0
-    start = nodes.join(seeds, "host", "left").select("host", (F.coalesce("weight", F.lit(0.0)) / F.lit(total or 1.0)).alias("seed"))
-    start = saved(start, f"{name}-seeds")
+    start = saved(nodes.join(seeds, "host", "left").select("host", F.coalesce("weight", F.lit(0.0)).alias("seed")), f"{name}-seeds")
     outgoing = edges.groupBy("a").agg(F.sum("weight").alias("total"))
     shares = saved(edges.join(outgoing, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")), f"{name}-shares")
     ranks = start.select("host", F.col("seed").alias("rank"))
@@ -86,7 +88,7 @@ def spread(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, rounds: int = 2
         moved = shares.join(ranks.withColumnRenamed("host", "a"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         held = saved(moved, f"{name}-moved")
         kept = held.agg(F.sum("got")).first()[0] or 0.0
-        rank = F.lit(damping) * F.coalesce("got", F.lit(0.0)) + F.col("seed") * F.lit(1 - damping * kept)
+        rank = F.lit(damping) * F.coalesce("got", F.lit(0.0)) + F.col("seed") * F.lit(1 - damping * kept / total)
         ranks = saved(start.join(held, "host", "left").select("host", rank.alias("rank")), f"{name}-ranks")
         discard(held)
         if before is not None:
@@ -95,7 +97,7 @@ def spread(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, rounds: int = 2
     return ranks
 
 
-def host_verdicts(pages: DataFrame, threshold: float = 1.0, rounds: int = 20) -> DataFrame:
+def host_verdicts(pages: DataFrame, threshold: float = 1.0, rounds: int = 20, floor: float = 0.01) -> DataFrame:
     """(host, trust, distrust, host_verdict) from pages (host, html, verdict of a rule or null)."""
     edges = saved(host_edges(pages), "url-edges")
     seen = saved(pages.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").cast("double").alias("allowed"), F.count_if(F.col("verdict") == "block").cast("double").alias("blocked")), "url-hosts")
@@ -105,20 +107,17 @@ def host_verdicts(pages: DataFrame, threshold: float = 1.0, rounds: int = 20) ->
     trust = spread(edges, nodes, seen.where("allowed > 0").select("host", (F.col("allowed") / judged).alias("weight")), rounds, name="trust")
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
     distrust = spread(turned, nodes, seen.where("blocked > 0").select("host", (F.col("blocked") / judged).alias("weight")), rounds, name="distrust")
-    n = max(nodes.count(), 1)
     both = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host")
-    both = both.join(seen.select("host", (judged > 0).alias("__sw_judged")), "host", "left")
-    enough = F.coalesce("__sw_judged", F.lit(False)) | (F.col("distrust") > F.lit(1.0 / n))
-    bad = (F.col("distrust") > F.lit(threshold) * F.col("trust")) & enough
-    return both.withColumn("host_verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).drop("__sw_judged")
+    bad = (F.col("distrust") > F.lit(threshold) * F.col("trust")) & (F.col("distrust") >= F.lit(floor))
+    return both.withColumn("host_verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow")))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, threshold: float = 1.0, rounds: int = 20, id_column: str = "page_id") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, threshold: float = 1.0, rounds: int = 20, floor: float = 0.01, id_column: str = "page_id") -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every row of (id, url, html)."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"), "html")
     rule, verdict = judge(F.col("host"), F.col("path"), RULES if rules is None else rules)
     judged = parsed.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "html")
-    hosts = saved(host_verdicts(judged, threshold, rounds), "url-verdicts")
+    hosts = saved(host_verdicts(judged, threshold, rounds, floor), "url-verdicts")
     rows = judged.drop("html").join(hosts, "host", "left")
     return rows.select(F.col("id").alias(id_column), "host", "path", "rule", F.coalesce("verdict", "host_verdict", F.lit("allow")).alias("verdict"), "trust", "distrust")
