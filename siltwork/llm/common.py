@@ -15,14 +15,16 @@ from pyspark.sql import types as T
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that setting is absent (tests, a laptop) is a
-    temporary folder made and registered as the session's checkpoint folder.
+    ``spark.checkpoint.dir`` names it on a cluster. Only in local mode may that setting be absent (tests, a laptop):
+    then a temporary folder is made and registered as the session's checkpoint folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         context = spark.sparkContext
         root = context.getCheckpointDir()
         if root is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="siltwork-"))
             root = context.getCheckpointDir()
     return root.rstrip("/")
@@ -51,6 +53,28 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+class Scratch:
+    """Tables of one operator's run: ``with Scratch() as t`` deletes them at the end, but not those given to ``t.keep``."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        self.frames.append(saved(df, name))
+        return self.frames[-1]
+
+    def keep(self, *frames: DataFrame) -> None:
+        """What a lazy result still reads."""
+        self.frames = [f for f in self.frames if not any(f is k for k in frames)]
+
+    def __exit__(self, *failure) -> None:
+        for f in self.frames:
+            discard(f)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
