@@ -9,6 +9,7 @@ import re
 import struct
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -284,8 +285,9 @@ def test_mix(spark):
         assert abs(t - wanted[s]) <= (45 if spare > 2000 else 300), (s, t, wanted[s], sizes[s])
     again = mixing.mix(docs.repartition(7)).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, out), key=str)
-    applied = mixing.apply_mix(docs, mixing.mix(docs))
-    assert applied.columns == docs.columns and applied.count() == sum(r.copies for r in out)
+    applied = mixing.apply_mix(docs, mixing.mix_units(docs))
+    assert applied.columns == docs.columns
+    assert Counter(r.doc_id for r in applied.collect()) == Counter({r.doc_id: r.copies for r in out if r.copies})
 
 
 def test_mix_keeps_expectations(spark):
@@ -304,7 +306,60 @@ def test_mix_edges(odd, none):
     assert len(out) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in out)
     assert {r.size for r in out if r.doc_id in (1, 2, 6)} == {0}
     assert mixing.mix(none).count() == 0
-    assert mixing.apply_mix(odd, mixing.mix(odd)).columns == odd.columns
+    applied = mixing.apply_mix(odd, mixing.mix_units(odd))
+    assert applied.columns == odd.columns and applied.count() == sum(r.copies for r in out)
+    assert mixing.apply_mix(none, mixing.mix_units(none)).count() == 0
+
+
+def test_mix_of_repeated_rows(spark, monkeypatch):
+    """A third of the rows repeat one id, source and text: each total is met, and no task gets them all."""
+    monkeypatch.setattr(mixing, "RUN", 1000)
+    rows = spark.range(50_000).selectExpr("0L AS doc_id", "'a b c' AS text", "'hot' AS source", "id AS extra")
+    rest = spark.range(1, 30_001).selectExpr("id AS doc_id", "repeat('w ', cast(id % 9 as int)) AS text", "array('hot', 'b', 'c', 'd')[id % 4] AS source", "id AS extra")
+    docs = rows.unionByName(rest).repartition(5)
+    began = time.monotonic()
+    out = mixing.mix(docs)
+    by = {(r.source, r.hot): r for r in out.groupBy("source", (F.col("doc_id") == 0).alias("hot")).agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.sum("copies").alias("copies"), F.max("target").alias("target"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect()}
+    hot = by["hot", True]
+    assert hot.n == 50_000 and hot.high - hot.low <= 1 and hot.high <= 3
+    assert hot.taken + by["hot", False].taken == pytest.approx(hot.target, abs=20)
+    assert all(by[s, False].taken == pytest.approx(by[s, False].target, abs=20) for s in "bcd")
+    applied = mixing.apply_mix(docs, mixing.mix_units(docs))
+    assert applied.where("doc_id = 0").count() == hot.copies and applied.count() == sum(r.copies for r in by.values())
+    assert time.monotonic() - began < 90
+
+
+def test_many_sources(spark):
+    """Every document its own source: the order of sources comes from ranges, not from one task."""
+    rows = [(k, "w " * (k % 7), f"s{k}") for k in range(700)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    wanted = water({s: len(t.split()) for _, t, s in rows})
+    assert all(r.target == pytest.approx(wanted[r.source]) and r.taken <= 3 * r.size for r in out)
+
+
+def test_one_pivotal_step_by_hand(spark):
+    """The reduction of a group, once more in plain Python: the same moves from the same draws."""
+    R = random.Random(8)
+    rows = [("s", 40, k, k * 7, R.randint(1, 9), R.random(), R.randint(0, 2), 1) for k in range(40)]
+    units = spark.createDataFrame(rows, "source string, n long, doc_id long, salt long, size long, part double, base long, rows long")
+    got = {r.doc_id: (r.part, r.base) for r in mixing.pivot(units, 20, 0).collect()}
+    pairs = [(a[2], b[2]) for a in rows for b in rows]
+    draws = spark.createDataFrame([(a, b) for a, b in pairs], "a long, b long").selectExpr("a", "b", "pmod(xxhash64(a, b, a * 7, b * 7, 20), 1073741824) / 1073741824D AS d").collect()
+    draw = {(r.a, r.b): r.d for r in draws}
+    size, part = {r[2]: r[4] for r in rows}, {r[2]: r[5] for r in rows}
+    carry = None
+    for x in sorted((r[2] for r in rows), key=lambda k: (size[k], k), reverse=True):
+        if carry is None:
+            carry = x
+            continue
+        up, down = min(part[carry] * size[carry], (1 - part[x]) * size[x]), min((1 - part[carry]) * size[carry], part[x] * size[x])
+        m = up if up + down <= 0 or draw[carry, x] * (up + down) < down else -down
+        part[carry], part[x] = min(1, max(0, part[carry] - m / size[carry])), min(1, max(0, part[x] + m / size[x]))
+        if part[carry] <= 1e-9 or part[carry] >= 1 - 1e-9:
+            carry = x
+    assert got == {r[2]: (pytest.approx(part[r[2]], abs=1e-12), r[6]) for r in rows}
+    assert sum(part[k] * size[k] for k in part) == pytest.approx(sum(r[5] * r[4] for r in rows))
+    assert sum(1e-9 < p < 1 - 1e-9 for p in part.values()) <= 1
 
 
 def test_mix_runs_no_python(spark, docs):
