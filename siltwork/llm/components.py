@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import discard, saved
+from siltwork.llm.common import Scratch, discard, saved
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -70,3 +70,20 @@ def cells(rows: DataFrame, key: list[str], member: Column, limit: int, name: str
     pairs = F.transform(F.sequence(F.lit(0), F.col("_s") - 1), lambda x: F.struct(F.least(x, F.col("shard")).alias("i"), F.greatest(x, F.col("shard")).alias("j")))
     out = out.withColumn("_cell", F.explode(pairs)).withColumns({"cell_i": F.col("_cell.i"), "cell_j": F.col("_cell.j")}).drop("_n", "_s", "_cell")
     return out.repartition(*key, "cell_i", "cell_j").sortWithinPartitions(*key, "cell_i", "cell_j", "shard")
+
+
+def open_buckets(rows: DataFrame, key: list[str], weight: Column, limit: int, held: Scratch, name: str) -> DataFrame:
+    """``rows`` (key, member, root) of buckets whose members aren't all joined yet, with shard and role.
+
+    A bucket is cut into shards of a total ``weight`` of about ``limit`` by the members' hash. Its members have role 0, each
+    in its own shard; those outside the bucket's largest component also have role 1 in every shard, as queries.
+    Two members that aren't joined yet are not both in the largest component, so each such pair meets once at
+    least, and a bucket of n members of which m are outside costs n + m * shards rows, not a share of n squared.
+    """
+    each = rows.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
+    found = each.groupBy(*key).agg(F.max_by("root", F.struct("_n", "root")).alias("largest"), F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_c"))
+    found = held.saved(found.where("_c > 1").select(*key, "largest", F.ceil(F.greatest(F.col("_w") / limit, F.lit(1.0))).cast("int").alias("shards")), name)
+    met = held.saved(rows.join(found, key).withColumn("shard", F.pmod(F.xxhash64("member", F.lit(5)), F.col("shards")).cast("int")), name)
+    queries = met.where("root <> largest").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    both = met.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1)))
+    return both.select(*rows.columns, "shard", "role")

@@ -5,9 +5,14 @@ differing bits. Equal fingerprints are one entry, so exact copies cost nothing f
 ``blocks`` parts; fingerprints within the radius agree in at least ``blocks - radius`` of them, so entries meet in a
 bucket for each choice of that many parts (nothing within the radius is lost). Each bucket's entries form BK-trees:
 children keyed by their Hamming distance to the parent, and a search follows only edges within the radius of its own
-distance. Buckets over ``limit`` entries are cut into shard trees and every shard's tree is sent to the tasks of the
-other shards' queries. The trees travel by shuffle, not from the driver: fingerprints have no bound that would allow
-a driver-side broadcast.
+distance.
+
+Buckets over ``limit`` entries are cut into shard trees, in two rounds. First each shard's entries are joined with each
+other and with the bucket's first shard tree, which is sent to all tasks of the bucket (``limit`` entries at most, so
+its size is bounded). Then only buckets that are not one component yet are searched: entries outside the bucket's largest
+component look through every shard tree. A dense bucket costs twice its size, whatever its size.
+The trees travel by shuffle, not from the driver: fingerprints of all documents have no bound that would allow a
+broadcast of all trees.
 
 A search skips a subtree whose members all are in its own component already, so a group of thousands of near copies
 costs about its size, not its square, and each cell returns a spanning forest of its links, not its pairs.
@@ -26,11 +31,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import map_texts, saved, slices
-from siltwork.llm.components import cells, components
+from siltwork.llm.common import Scratch, map_texts, saved, slices
+from siltwork.llm.components import components, open_buckets
 
 LIMIT = 2048
 
@@ -72,10 +77,11 @@ class BKTree:
             k = parent[k]
         return k
 
-    def entry(self, value: int) -> int:
+    def entry(self, value: int, joined: int | None = None) -> int:
+        """A new entry, in the component of entry ``joined`` if that is given; it isn't in the tree yet."""
         self.values.append(value)
         self.children.append({})
-        self.parent.append(len(self.parent))
+        self.parent.append(len(self.parent) if joined is None else self.root(joined))
         self.even.append(True)
         return len(self.values) - 1
 
@@ -113,27 +119,42 @@ class BKTree:
             at = child
 
 
-def link_cell(tree_values: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that join what belongs together in a cell: (value, first value of its component)."""
-    tree = BKTree(radius)
+def link_cell(tree_values: list[int], queries: list[int], radius: int, roots: dict[int, int] | None = None) -> list[tuple[int, int]]:
+    """Links that join what belongs together in a cell: (value, first value of its component).
+
+    ``roots`` tells of values that are joined already; those links aren't given out again.
+    """
+    tree, first, places = BKTree(radius), {}, {}
+
+    def entry(value: int) -> int:
+        if value in places:
+            return places[value]
+        name = value if roots is None else roots[value]
+        k = places[value] = tree.entry(value, first.get(name))
+        first.setdefault(name, k)
+        return k
+
     for n, value in enumerate(tree_values):
-        k = tree.entry(value)
+        k = entry(value)
         if n:
             tree.search(k)
             tree.hang(k)
-    for value in queries:
-        tree.search(tree.entry(value))
+    if tree_values:
+        for value in queries:
+            tree.search(entry(value))
     values = tree.values
-    return [(values[k], values[r]) for k in range(len(values)) if (r := tree.root(k)) != k]
+    return [(values[k], values[r]) for k in first.values() if (r := tree.root(k)) != k]
 
 
 def _linker(radius: int):
+    """Cells (combo, part, shard) of rows in order of role: 0 for the tree's entries, 1 for its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found = None, ([], []), []
+        key, held, roots, found = None, ([], []), {}, []
 
         def close():
             if len(held[0]) + len(held[1]) > 1:
-                found.extend(link_cell(held[0] or held[1], held[1] if held[0] else [], radius))
+                found.extend(link_cell(*held, radius, roots))
 
         def flush():
             signed = np.array(found, np.uint64).view(np.int64).reshape(-1, 2)
@@ -141,15 +162,16 @@ def _linker(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(signed[:, 0]), pa.array(signed[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("combo", "part", "cell_i", "cell_j", "shard")]
-            values = batch.column("fp").to_numpy().view(np.uint64).tolist()
-            for *now, shard, value in zip(*columns, values):
+            columns = [batch.column(n).to_pylist() for n in ("combo", "part", "shard", "role")]
+            values, tops = (batch.column(n).to_numpy().view(np.uint64).tolist() for n in ("fp", "root"))
+            for *now, role, value, top in zip(*columns, values, tops):
                 if now != key:
                     close()
-                    key, held = now, ([], [])
+                    key, held, roots = now, ([], []), {}
                     if len(found) > 50_000:
                         yield flush()
-                held[0 if shard == now[2] else 1].append(value)
+                held[role].append(value)
+                roots[value] = top
         close()
         yield flush()
 
@@ -157,19 +179,20 @@ def _linker(radius: int):
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp) of every row; fp as a signed long."""
+    """(id, fp, salt) of every row; fp as a signed long, salt the text's hash."""
 
     def make():
         def kernel(batch: pa.RecordBatch):
             for part in slices(batch, 1):
-                for key, text in zip(part.column(0).to_pylist(), part.column(1)):
+                for key, text, salt in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
                     value = fingerprint(text.as_py(), words)
-                    yield key, value - (1 << 64) if value >> 63 else value
+                    yield key, value - (1 << 64) if value >> 63 else value, salt
 
         return kernel
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_texts(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), f"id {kind}, fp long", make)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("salt"))
+    return map_texts(rows, f"id {kind}, fp long, salt long", make)
 
 
 def blocks_for(entries: int, radius: int) -> int:
@@ -180,42 +203,83 @@ def blocks_for(entries: int, radius: int) -> int:
     return blocks
 
 
+def _links(cells: DataFrame, radius: int) -> DataFrame:
+    keys = ["combo", "part", "shard"]
+    dealt = cells.select(*keys, "role", "fp", "root").repartition(*keys).sortWithinPartitions(*keys, "role")
+    return dealt.mapInArrow(_linker(radius), "a long, b long")
+
+
 def near_groups(rows: DataFrame, radius: int = 4, limit: int = LIMIT) -> DataFrame:
-    """(fp, component) of every distinct fingerprint of ``rows`` (id, fp); component is the smallest id reachable."""
-    entries = saved(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-entries")
-    blocks = blocks_for(entries.count(), radius)
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    masks = [sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in some) for some in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    parts = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])
-    buckets = entries.select("fp", F.posexplode(parts).alias("combo", "part"))
-    found = cells(buckets, ["combo", "part"], F.col("fp"), limit, "simhash-hot").mapInArrow(_linker(radius), "a long, b long")
-    roots = saved(components(found, "simhash-links"), "simhash-roots")
-    named = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = saved(named, "simhash-named")
-    least = saved(roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
-    return named.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    """(fp, component, root) of every distinct fingerprint of ``rows`` (id, fp).
+
+    ``component`` is the smallest id reachable and ``root`` names the component, even where ids repeat.
+    """
+    with Scratch() as held:
+        entries = held.saved(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-entries")
+        blocks = blocks_for(entries.count(), radius)
+        cuts = [64 * k // blocks for k in range(blocks + 1)]
+        masks = [sum(((1 << cuts[k + 1]) - (1 << cuts[k])) for k in some) for some in combinations(range(blocks), blocks - radius)]
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        parts = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])
+        key = ["combo", "part"]
+        buckets = entries.select("fp", F.posexplode(parts).alias("combo", "part"))
+        hot = held.saved(buckets.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "simhash-hot")
+        cold = buckets.join(hot, key, "left_anti").select(*key, F.lit(0).alias("shard"), F.lit(0).alias("role"), "fp", F.col("fp").alias("root"))
+        shards = F.ceil(F.col("n") / limit).cast("int")
+        large = buckets.join(hot, key).withColumn("shards", shards).withColumn("shard", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("shards")).cast("int"))
+        first = large.where("shard = 0").withColumn("shard", F.explode(F.sequence(F.lit(1), F.col("shards") - 1)))
+        both = large.withColumn("role", F.lit(0)).unionByName(first.withColumn("role", F.lit(1)))
+        found = held.saved(_links(cold.unionByName(both.select(*key, "shard", "role", "fp", F.col("fp").alias("root"))), radius), "simhash-links")
+        roots = held.saved(components(found, "simhash-components"), "simhash-roots")
+        if not hot.isEmpty():
+            named = large.select(*key, F.col("fp").alias("member")).join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+            again = open_buckets(named, key, F.lit(1), limit, held, "simhash-open").withColumnRenamed("member", "fp")
+            found = found.unionByName(held.saved(_links(again, radius), "simhash-links"))
+            roots = held.saved(components(found, "simhash-components"), "simhash-roots")
+        named = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        named = held.saved(named, "simhash-named")
+        least = held.saved(roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
+        return saved(named.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component"), "root"), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) of every row."""
     rows = saved(fingerprints(docs, id_column, text_column, words), "simhash-rows")
-    groups = saved(near_groups(rows, radius), "simhash-groups")
+    groups = near_groups(rows, radius)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(groups, "fp").select(F.col("id").alias(id_column), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, radius: int = 4, words: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: the one whose id is the component's; columns untouched.
+    """One row of each group of near-duplicates: that of the smallest id, null last; columns untouched.
+
+    Where one id has several texts in a group, the text of the smallest hash stays; of rows that repeat id and text one
+    stays.
+    """
+    rows = saved(fingerprints(docs, id_column, text_column, words), "simhash-rows")
+    groups = near_groups(rows.select("id", "fp"), radius)
+    chosen = choose_first(rows.join(groups, "fp"))
+    return keep_chosen(docs, chosen, id_column, text_column)
+
+
+def choose_first(rows: DataFrame) -> DataFrame:
+    """(id, salt, n) of the row that stays of each root of ``rows`` (id, salt, root), and how many rows repeat it."""
+    counted = rows.groupBy("root", "id", "salt").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "salt", "n")).alias("c"))
+    return saved(first.select("c.id", "c.salt", "c.n"), "kept-rows")
+
+
+def keep_chosen(docs: DataFrame, chosen: DataFrame, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``docs`` that (id, salt, n) of ``chosen`` names, one of those that repeat id and text; columns untouched.
 
-    Rows that repeat id and text count as one.
+    One join on ids and hashes, which shuffles texts only where Spark finds ``chosen`` too large to broadcast. Rows that
+    repeat are reduced in their tasks first. ``also`` are columns of ``chosen`` to hand on.
     """
-    return keep_component_ids(docs, near_duplicates(docs, radius, words, id_column, text_column), id_column, text_column)
+    keyed = docs.withColumns({"__sw_id": F.col(id_column), "__sw_salt": F.xxhash64(F.col(text_column))})
+    out = [F.col(f"`{c}`") for c in docs.columns] + [F.col(f"__sw_c_{c}").alias(c) for c in also]
 
+    def joined(some: DataFrame) -> DataFrame:
+        return keyed.join(some.select(*[F.col(c).alias(f"__sw_c_{c}") for c in some.columns]), F.expr("__sw_id <=> __sw_c_id and __sw_salt <=> __sw_c_salt"))
 
-def keep_component_ids(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id is its component_id in ``found``; rows that repeat id and text count as one."""
-    kept = saved(found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("__sw_kept")).distinct(), "simhash-kept")
-    joined = docs.join(kept, F.expr(f"`{id_column}` <=> __sw_kept"))
-    turn = F.row_number().over(Window.partitionBy("__sw_kept", F.xxhash64(F.col(text_column))).orderBy("__sw_kept"))
-    return joined.withColumn("__sw_turn", turn).where("__sw_turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = joined(chosen.where("n = 1")).select(*out)
+    return one.unionByName(joined(chosen.where("n > 1")).dropDuplicates(["__sw_id", "__sw_salt"]).select(*out))
