@@ -6,9 +6,11 @@ the BK-trees of the SimHash operator only propose the closest copies, and ``BAND
 rest. A pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^32 = 0.99994, closer pairs more surely. No pair links
 unchecked: every link is counted over both whole sets in integers.
 
-Rounds: SimHash groups against their first member; each band's bucket against its first member; at last each two
-members of a bucket that are not joined yet, in cells of at most ``LIMIT`` times two members and over an index of their
-shingles, so nothing that shares a band stays unchecked. Members joined by then are not compared again.
+Rounds: SimHash groups against their first member; each band's bucket against its first member; at last, in buckets
+that aren't one component by then, every member outside the bucket's largest component against all members, in
+shards of at most about ``BUDGET`` shingles and over an index of them, so nothing that shares a band stays unchecked.
+Sets of shingles are made again from the texts that share a band or a group, and only for those, so that they are
+never written for all documents.
 
 Defined cases: as in ``simhash``; fewer words than a shingle make one shingle, texts without words have the empty set and
 are equal; texts with equal sets are one entry.
@@ -25,13 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import discard, saved, slices
-from siltwork.llm.components import cells, components
-from siltwork.llm.simhash import keep_component_ids, near_groups
+from siltwork.llm.common import Scratch, saved, slices
+from siltwork.llm.components import components, open_buckets
+from siltwork.llm.simhash import choose_first, keep_chosen, near_groups
 
 BANDS, ROWS = 32, 6
-LIMIT = 512
-STEP = 512
+BUDGET = 4 << 20  # shingles of a shard, 32 MB
 _R = np.random.Generator(np.random.PCG64(42))
 _XOR = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _ODD = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -69,26 +70,44 @@ def sketch(text: str | None, words: int = 5) -> tuple[int, np.ndarray, list[int]
     return fp, distinct, [xxhash.xxh64_intdigest(mins[k].tobytes(), k) for k in range(BANDS)]
 
 
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _lists(rows: list) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate(rows) if rows else []))
+
+
 def sketches(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """(id, fp, entry, size, bands, shingles) of every row; entry is a hash of the set."""
+    """(id, salt, fp, entry, size, bands) of every row; salt is the text's hash and entry a hash of its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):  # small batches out: a row's set takes more room than its text
-                for part in slices(batch.slice(at, STEP), 1):
-                    made = [sketch(t.as_py(), words) for t in part.column(1)]
-                    longs = lambda x: np.array(x, np.uint64).view(np.int64)
-                    ends = lambda x: np.cumsum([0, *map(len, x)]).astype(np.int32)
-                    sets, keys = [m[1] for m in made], [m[2] for m in made]
-                    entries = [xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), 7) for x in sets]
-                    columns = [part.column(0), pa.array(longs([m[0] for m in made])), pa.array(longs(entries)), pa.array([len(x) for x in sets], pa.int32())]
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends(keys)), pa.array(longs([k for x in keys for k in x]))))
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends(sets)), pa.array(np.concatenate(sets).view(np.int64))))
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "entry", "size", "bands", "shingles"])
+            for part in slices(batch, 1):
+                made = []
+                for text in part.column(1):
+                    fp, distinct, bands = sketch(text.as_py(), words)
+                    made.append((fp, xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), 7), len(distinct), np.array(bands, np.uint64)))
+                fps, entries, sizes, bands = zip(*made)
+                columns = [part.column(0), part.column(2), _longs(fps), _longs(entries), pa.array(sizes, pa.int32()), _lists(list(bands))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "salt", "fp", "entry", "size", "bands"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp long, entry long, size int, bands array<long>, shingles array<long>")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("salt"))
+    return rows.mapInArrow(run, f"id {kind}, salt long, fp long, entry long, size int, bands array<long>")
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(entry, size, shingles) of every row of (entry, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, 2 << 20):  # a set takes more room than its text
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), _lists(sets)], names=["entry", "size", "shingles"])
+
+    return texts.mapInArrow(run, "entry long, size int, shingles array<long>")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -99,114 +118,126 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("m") + F.col("n"))).select("a", "b")
 
 
-def _open(shared: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Rows of the buckets whose members are not all joined, with their roots and their bucket's first member's."""
-    roots = saved(components(reduce(DataFrame.union, links), "jaccard-components"), "jaccard-roots")
+def _labelled(shared: DataFrame, links: list[DataFrame], held: Scratch) -> DataFrame:
+    """``shared`` with the roots of its entries by the links so far."""
+    roots = held.saved(components(reduce(DataFrame.union, links), "jaccard-components"), "jaccard-roots")
     named = shared.join(roots.withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
-    named = saved(named, "jaccard-labelled")
-    one = F.when(F.col("entry") == F.col("first"), F.col("root")), F.when(F.col("entry") == F.col("first"), F.col("size"))
-    each = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(one[0]).alias("first_root"), F.max(one[1]).alias("first_size"))
-    mixed = saved(each.where("low <> high").select("key", "first_root", "first_size"), "jaccard-mixed")
-    return saved(named.join(mixed, "key"), "jaccard-open")
-
-
-def link_sets(roots: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Places of linked sets that join what is similar; ``roots`` tells which are joined already.
-
-    Every two sets not joined yet are counted over an index of the shingles, but those of the largest group only
-    against others.
-    """
-    names, comp = np.unique(np.array(roots, np.int64), return_inverse=True)
-    sizes, out = np.array([len(x) for x in sets]), []
-    which, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
-    starts = np.searchsorted(np.sort(place), np.arange(len(which) + 1)).tolist()
-    upto = np.cumsum(sizes)
-    largest = np.bincount(comp).argmax()
-    for k in np.flatnonzero(comp != largest).tolist():
-        if not (comp != comp[k]).any():
-            break
-        mine = place[upto[k] - sizes[k] : upto[k]].tolist()
-        counts = np.bincount(np.concatenate([owner[starts[x] : starts[x + 1]] for x in mine]), minlength=len(sets)) if mine else (sizes == 0) * 1
-        similar = 9 * counts >= 4 * (sizes + sizes[k])
-        for other in np.flatnonzero(similar & (comp != comp[k])).tolist():
-            if comp[other] != comp[k]:
-                out.append((k, other))
-                comp[comp == comp[other]] = comp[k]
-    return out
+    return held.saved(named, "jaccard-labelled")
+
+
+class Shard:
+    """An index of the sets of a shard's members, against which sets are counted one by one."""
+
+    def __init__(self, entries: list[int], roots: list[int], sets: list[np.ndarray]):
+        self.entries, self.sizes = entries, np.array([len(x) for x in sets])
+        self.top: dict[int, int] = {}
+        self.roots = np.array(roots, np.int64)
+        whole = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        order = np.argsort(whole, kind="stable")
+        self.values, self.owner = whole[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def root(self, name: int) -> int:
+        while (up := self.top.get(name, name)) != name:
+            name = up
+        return name
+
+    def links(self, entry: int, root: int, mine: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(entry, member) for members of components that the set joins."""
+        mine = np.sort(mine)
+        low, high = np.searchsorted(self.values, mine), np.searchsorted(self.values, mine, "right")
+        hit = np.flatnonzero(high > low)
+        met = np.concatenate([self.owner[low[k] : high[k]] for k in hit]) if len(hit) else np.zeros(0, np.int64)
+        counts = np.bincount(met, minlength=len(self.sizes)) if len(mine) else (self.sizes == 0) * 1
+        similar = np.flatnonzero((9 * counts >= 4 * (self.sizes + len(mine))) & (self.roots != root))
+        for name, k in zip(*np.unique(self.roots[similar], return_index=True)):
+            a, b = self.root(int(name)), self.root(root)
+            if a != b:
+                self.top[max(a, b)] = min(a, b)
+                yield entry, self.entries[similar[k]]
 
 
 def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, entries, roots, sets, found = None, [], [], [], []
+    """Cells (key, shard) of rows in order of role: 0 for the index's members, 1 for the sets to count against it."""
+    now, held, shard, found = None, ([], [], []), None, []
 
-    def close():
-        if len(set(roots)) > 1:
-            found.extend((entries[a], entries[b]) for a, b in link_sets(roots, sets))
-        for held in (entries, roots, sets):
-            held.clear()
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        found.clear()
+        return out
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("key", "cell_i", "cell_j", "entry", "root")]
+        columns = [batch.column(n).to_pylist() for n in ("key", "shard", "role", "member", "root")]
         lists = batch.column("shingles")
-        for n, (*key, entry, root) in enumerate(zip(*columns)):
+        for n, (*key, role, entry, root) in enumerate(zip(*columns)):
             if key != now:
-                close()
-                now = key
-            entries.append(entry)
-            roots.append(root)
-            sets.append(lists[n].values.to_numpy())
-    close()
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                now, held, shard = key, ([], [], []), None
+                if len(found) > 50_000:
+                    yield flush()
+            values = lists[n].values.to_numpy()
+            if role == 0:
+                for place, x in zip(held, (entry, root, values.copy())):
+                    place.append(x)
+            else:
+                if shard is None:
+                    shard, held = Shard(*held), ([], [], [])
+                found.extend(shard.links(entry, root, values))
+    yield flush()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_sets(rows: DataFrame) -> DataFrame:
-    """(entry, component) of every distinct set of ``rows`` (``sketches`` and a row number ``at``); component is the smallest id reachable."""
-    entries = saved(rows.groupBy("entry").agg(F.min("id").alias("least"), F.min("at").alias("at")), "jaccard-entries")
-    whole = rows.select("at", "fp", "size", "bands").join(entries.select("entry", "at"), "at")
-    whole = saved(whole.select("entry", "fp", "size", "bands"), "jaccard-whole")
-
-    keyed = whole.select("entry", "size", F.explode("bands").alias("key"))
-    first = saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("first")).where("n > 1"), "jaccard-first")
-    shared = saved(keyed.join(first.select("key", "first"), "key"), "jaccard-shared")
-    groups = saved(near_groups(whole.select(F.col("entry").alias("id"), "fp")), "jaccard-simhash")
-    close = whole.join(groups, "fp").select(F.col("entry").alias("a"), F.col("component").alias("b"))
-    tried = saved(_ordered(close), "jaccard-pairs")
-    asked = shared.select("entry").union(tried.select(F.col("a").alias("entry"))).union(tried.select(F.col("b").alias("entry"))).distinct()
-    asked = saved(asked.join(entries, "entry").select("entry", "at"), "jaccard-asked")
-    sets = saved(rows.select("at", "size", "shingles").join(asked, "at").select("entry", "size", "shingles"), "jaccard-sets")
-
-    links = [saved(_checked(tried, sets), "jaccard-links")]
-    open_ = _open(shared, links)
-    met = open_.where("root <> first_root and 5 * least(size, first_size) >= 4 * greatest(size, first_size)")
-    pairs = _ordered(met.select(F.col("entry").alias("a"), F.col("first").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    links.append(saved(_checked(saved(pairs, "jaccard-pairs"), sets), "jaccard-links"))
-    open_ = _open(shared, links).select("key", "entry", "root")
-    met = cells(open_.join(sets.select("entry", "shingles"), "entry"), ["key"], F.col("entry"), LIMIT, "jaccard-hot")
-    links.append(saved(met.select("key", "cell_i", "cell_j", "entry", "root", "shingles").mapInArrow(_linker, "a long, b long"), "jaccard-links"))
-    roots = saved(components(reduce(DataFrame.union, links), "jaccard-components"), "jaccard-roots")
-    named = entries.join(roots.withColumnRenamed("node", "entry"), "entry", "left").select("entry", "least", F.coalesce("root", "entry").alias("root"))
-    named = saved(named, "jaccard-named")
-    least = saved(roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component")), "jaccard-least")
-    discard(sets)
-    return named.join(least, "root", "left").select("entry", F.coalesce("component", "least").alias("component"))
+def near_sets(docs: DataFrame, rows: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
+    """(entry, component, root) of every distinct set of ``rows`` (``sketches`` of ``docs``); component is the smallest id reachable."""
+    with Scratch() as held:
+        named = F.struct(F.col("id").isNull().alias("null"), "id", "salt")
+        entries = rows.groupBy("entry").agg(F.min("id").alias("least"), F.min(named).alias("of"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+        entries = held.saved(entries, "jaccard-entries")
+
+        keyed = entries.select("entry", "size", F.explode("bands").alias("key"))
+        first = held.saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("entry", "size")).alias("first")).where("n > 1"), "jaccard-first")
+        shared = held.saved(keyed.join(first.select("key", "first"), "key"), "jaccard-shared")
+        groups = near_groups(entries.select(F.col("entry").alias("id"), "fp"))
+        close = entries.join(groups, "fp").select(F.col("entry").alias("a"), F.col("component").alias("b"))
+        tried = held.saved(_ordered(close), "jaccard-pairs")
+        asked = shared.select("entry").union(tried.select("a")).union(tried.select("b")).distinct()
+        repeats = rows.groupBy("id", "salt").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("i"), F.col("salt").alias("s"), "n")
+        asked = entries.join(asked, "entry").select("entry", "of.id", "of.salt").join(held.saved(repeats, "jaccard-repeats"), F.expr("id <=> i and salt = s"), "left")
+        asked = held.saved(asked.select("entry", "id", "salt", F.coalesce("n", F.lit(1)).alias("n")), "jaccard-asked")
+        texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+        texts = keep_chosen(texts, asked, "id", "text", ("entry",)).select("entry", "text")
+        sets = held.saved(shingle_sets(texts, words), "jaccard-sets")
+
+        links = [held.saved(_checked(tried, sets), "jaccard-links")]
+        labelled = _labelled(shared, links, held)
+        firsts = labelled.where("entry = first.entry").select("key", F.col("root").alias("first_root"))
+        met = labelled.join(firsts, "key").where("root <> first_root and 5 * least(size, first.size) >= 4 * greatest(size, first.size)")
+        pairs = _ordered(met.select(F.col("entry").alias("a"), F.col("first.entry").alias("b"))).join(tried, ["a", "b"], "left_anti")
+        links.append(held.saved(_checked(held.saved(pairs, "jaccard-pairs"), sets), "jaccard-links"))
+        labelled = _labelled(shared, links, held).select("key", F.col("entry").alias("member"), "root", "size")
+        cells = open_buckets(labelled, ["key"], F.col("size") + 1, BUDGET, held, "jaccard-open").drop("size")
+        met = cells.join(sets.select(F.col("entry").alias("member"), "shingles"), "member")
+        met = met.repartition("key", "shard").sortWithinPartitions("key", "shard", "role").select("key", "shard", "role", "member", "root", "shingles")
+        links.append(held.saved(met.mapInArrow(_linker, "a long, b long"), "jaccard-links"))
+        roots = held.saved(components(reduce(DataFrame.union, links), "jaccard-components"), "jaccard-roots")
+        named = entries.join(roots.withColumnRenamed("node", "entry"), "entry", "left").select("entry", "least", F.coalesce("root", "entry").alias("root"))
+        named = held.saved(named, "jaccard-named")
+        least = held.saved(roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component")), "jaccard-least")
+        return saved(named.join(least, "root", "left").select("entry", F.coalesce("component", "least").alias("component"), "root"), "jaccard-groups")
+
+
+def _found(docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
+    """(id, salt, component, root) of every row."""
+    rows = saved(sketches(docs, id_column, text_column, words), "jaccard-rows")
+    return rows.select("id", "salt", "entry").join(near_sets(docs, rows, words, id_column, text_column), "entry").drop("entry")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) of every row."""
-    rows = saved(sketches(docs, id_column, text_column, words).withColumn("at", F.monotonically_increasing_id()), "jaccard-rows")
-    held = saved(rows.select("id", "entry"), "jaccard-ids")
-    groups = saved(near_sets(rows), "jaccard-groups")
-    discard(rows)
-    return held.join(groups, "entry").select(F.col("id").alias(id_column), F.col("component").alias("component_id"))
+    return _found(docs, words, id_column, text_column).select(F.col("id").alias(id_column), F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: the one whose id is the component's; columns untouched.
-
-    Rows that repeat id and text count as one.
-    """
-    return keep_component_ids(docs, near_duplicates(docs, words, id_column, text_column), id_column, text_column)
+    """One row of each group of near-duplicates, chosen as in ``simhash.keep_first``; columns untouched."""
+    return keep_chosen(docs, choose_first(_found(docs, words, id_column, text_column)), id_column, text_column)

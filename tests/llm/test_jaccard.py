@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from siltwork.llm import jaccard
+from siltwork.llm import jaccard, simhash
 
 
 def shingles(text):
@@ -71,14 +71,16 @@ def test_documents_equal_brute_force(spark, data_dir):
 
 def test_linked_sets_equal_brute_force():
     R = random.Random(5)
-    sets, roots = [], []
+    sets, roots = [np.zeros(0, np.int64)] * 2, [0, 1]
     for g in range(6):
         base = R.sample(range(10**6), 60)
         for _ in range(15):
             sets.append(np.array(sorted({x if R.random() < 0.9 else R.randrange(10**6) for x in base}), np.int64))
             roots.append(len(roots))
-    roots[3] = roots[1]
-    found, top = jaccard.link_sets(roots, sets), {r: r for r in roots}
+    roots[5] = roots[3]
+    entries = list(range(len(sets)))
+    shards = [jaccard.Shard(*(x[part] for x in (entries, roots, sets))) for part in (slice(0, 40), slice(40, None))]
+    found, top = [x for k in entries for shard in shards for x in shard.links(k, roots[k], sets[k])], {r: r for r in roots}
 
     def root(k):
         while top[k] != k:
@@ -92,3 +94,24 @@ def test_linked_sets_equal_brute_force():
     for a in range(len(sets)):
         for b in range(a):
             assert not same(sets[a], sets[b]) or root(roots[a]) == root(roots[b])
+
+
+def test_small_shards_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUDGET", 700)
+    test_stage_equals_brute_force(spark)
+
+
+def test_one_id_with_several_texts(spark):
+    """Ids repeat: decisions are by group and text, not by id."""
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(3, a, 1), (5, a.upper(), 2), (5, b, 3), (None, "other text here", 4), (7, b, 5), (7, b, 5), (None, "another", 6), (5, "third of five", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    for keep in (jaccard.keep_first, simhash.keep_first):
+        assert sorted(r.n for r in keep(docs).collect()) == [1, 3, 4, 6, 7]
+
+
+def test_a_hot_repeated_row(spark):
+    rows = spark.range(30_000).selectExpr("7L AS doc_id", "'the same words in every row here' AS text", "id AS extra")
+    rest = spark.range(50).selectExpr("id + 100 AS doc_id", "repeat(concat('w', id, ' x', id * 3, ' '), 9) AS text", "id AS extra")
+    kept = jaccard.keep_first(rows.unionByName(rest)).collect()
+    assert len(kept) == 51 and sum(r.doc_id == 7 for r in kept) == 1
