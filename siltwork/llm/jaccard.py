@@ -6,9 +6,10 @@ the BK-trees of the SimHash operator only propose the closest copies, and ``BAND
 rest. A pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^32 = 0.99994, closer pairs more surely. No pair links
 unchecked: every link is counted over both whole sets in integers.
 
-Rounds: SimHash groups against their first member; each band's bucket against its first member; at last, in buckets
-that aren't one component by then, every member outside the bucket's largest component against all members, in
-shards of at most about ``BUDGET`` shingles and over an index of them, so nothing that shares a band stays unchecked.
+Rounds: SimHash groups and each band's bucket against their first member; then, in buckets whose other members aren't one
+component by then, every member outside the largest component against all others, in shards of at most about ``BUDGET``
+shingles and over an index of them, so nothing that shares a band stays unchecked. Buckets of the same members count
+once.
 Sets of shingles are made again from the texts that share a band or a group, and only for those, so that they are
 never written for all documents.
 
@@ -19,7 +20,6 @@ are equal; texts with equal sets are one entry.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from siltwork.llm.common import Scratch, saved, slices
 from siltwork.llm.components import components, open_buckets
-from siltwork.llm.simhash import choose_first, keep_chosen, near_groups
+from siltwork.llm.rows import Sieve, keep_firsts, rows_of
+from siltwork.llm.simhash import near_groups
 
 BANDS, ROWS = 32, 6
 BUDGET = 4 << 20  # shingles of a shard, 32 MB
@@ -115,14 +116,7 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("entry").alias("a"), F.col("size").alias("m"), F.col("shingles").alias("x"))
     b = sets.select(F.col("entry").alias("b"), F.col("size").alias("n"), F.col("shingles").alias("y"))
     both = pairs.join(a, "a").join(b, "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("m") + F.col("n"))).select("a", "b")
-
-
-def _labelled(shared: DataFrame, links: list[DataFrame], held: Scratch) -> DataFrame:
-    """``shared`` with the roots of its entries by the links so far."""
-    roots = held.saved(components(reduce(DataFrame.union, links), "jaccard-components"), "jaccard-roots")
-    named = shared.join(roots.withColumnRenamed("node", "entry"), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
-    return held.saved(named, "jaccard-labelled")
+    return both.where("5 * least(m, n) >= 4 * greatest(m, n)").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("m") + F.col("n"))).select("a", "b")
 
 
 class Shard:
@@ -196,31 +190,30 @@ def near_sets(docs: DataFrame, rows: DataFrame, words: int, id_column: str, text
         entries = held.saved(entries, "jaccard-entries")
 
         keyed = entries.select("entry", "size", F.explode("bands").alias("key"))
-        first = held.saved(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("entry", "size")).alias("first")).where("n > 1"), "jaccard-first")
-        shared = held.saved(keyed.join(first.select("key", "first"), "key"), "jaccard-shared")
+        mixed = F.xxhash64("entry")
+        buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("entry").alias("first"), F.bit_xor(mixed).alias("x"), F.sum(F.pmod(mixed, F.lit(1 << 31))).alias("y")).where("n > 1")
+        buckets = held.saved(buckets.groupBy("n", "first", "x", "y").agg(F.min("key").alias("key")).select("key", "first"), "jaccard-buckets")
+        keyed = Sieve(buckets.select(F.col("key").alias("salt"))).rows(keyed, "key", True)
+        shared = held.saved(keyed.join(buckets, "key"), "jaccard-shared")
         groups = near_groups(entries.select(F.col("entry").alias("id"), "fp"))
         close = entries.join(groups, "fp").select(F.col("entry").alias("a"), F.col("component").alias("b"))
-        tried = held.saved(_ordered(close), "jaccard-pairs")
+        met = shared.select(F.col("entry").alias("a"), F.col("first").alias("b"))
+        tried = held.saved(_ordered(close.union(met)), "jaccard-pairs")
         asked = shared.select("entry").union(tried.select("a")).union(tried.select("b")).distinct()
-        repeats = rows.groupBy("id", "salt").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("i"), F.col("salt").alias("s"), "n")
-        asked = entries.join(asked, "entry").select("entry", "of.id", "of.salt").join(held.saved(repeats, "jaccard-repeats"), F.expr("id <=> i and salt = s"), "left")
-        asked = held.saved(asked.select("entry", "id", "salt", F.coalesce("n", F.lit(1)).alias("n")), "jaccard-asked")
+        asked = held.saved(entries.join(asked, "entry").select("entry", "of.id", "of.salt"), "jaccard-asked")
         texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-        texts = keep_chosen(texts, asked, "id", "text", ("entry",)).select("entry", "text")
+        texts = rows_of(texts, asked, "id", "text", ("entry",)).select("entry", "text")
         sets = held.saved(shingle_sets(texts, words), "jaccard-sets")
 
         links = [held.saved(_checked(tried, sets), "jaccard-links")]
-        labelled = _labelled(shared, links, held)
-        firsts = labelled.where("entry = first.entry").select("key", F.col("root").alias("first_root"))
-        met = labelled.join(firsts, "key").where("root <> first_root and 5 * least(size, first.size) >= 4 * greatest(size, first.size)")
-        pairs = _ordered(met.select(F.col("entry").alias("a"), F.col("first.entry").alias("b"))).join(tried, ["a", "b"], "left_anti")
-        links.append(held.saved(_checked(held.saved(pairs, "jaccard-pairs"), sets), "jaccard-links"))
-        labelled = _labelled(shared, links, held).select("key", F.col("entry").alias("member"), "root", "size")
-        cells = open_buckets(labelled, ["key"], F.col("size") + 1, BUDGET, held, "jaccard-open").drop("size")
+        others = shared.where("entry <> first").select("key", F.col("entry").alias("member"), "size")
+        roots = held.saved(components(links[0], "jaccard-components"), "jaccard-roots")
+        labelled = others.join(roots.withColumnRenamed("node", "member"), "member", "left").select("key", "member", F.coalesce("root", "member").alias("root"), "size")
+        cells = open_buckets(held.saved(labelled, "jaccard-labelled"), ["key"], F.col("size") + 1, BUDGET, held, "jaccard-open").drop("size")
         met = cells.join(sets.select(F.col("entry").alias("member"), "shingles"), "member")
         met = met.repartition("key", "shard").sortWithinPartitions("key", "shard", "role").select("key", "shard", "role", "member", "root", "shingles")
         links.append(held.saved(met.mapInArrow(_linker, "a long, b long"), "jaccard-links"))
-        roots = held.saved(components(reduce(DataFrame.union, links), "jaccard-components"), "jaccard-roots")
+        roots = held.saved(components(links[0].union(links[1]), "jaccard-components"), "jaccard-roots")
         named = entries.join(roots.withColumnRenamed("node", "entry"), "entry", "left").select("entry", "least", F.coalesce("root", "entry").alias("root"))
         named = held.saved(named, "jaccard-named")
         least = held.saved(roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component")), "jaccard-least")
@@ -240,4 +233,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_column: str = "doc_id",
 
 def keep_first(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, chosen as in ``simhash.keep_first``; columns untouched."""
-    return keep_chosen(docs, choose_first(_found(docs, words, id_column, text_column)), id_column, text_column)
+    return keep_firsts(docs, _found(docs, words, id_column, text_column), id_column, text_column)

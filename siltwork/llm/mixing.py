@@ -219,5 +219,6 @@ def apply_mix(docs: DataFrame, units: DataFrame, id_column: str = "doc_id", text
 
     own = [F.col(f"`{c}`") for c in docs.columns]
     each = joined(units.where("copies >= rows")).withColumn("__sw_k", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("__sw_copies div __sw_rows"))))
-    odd = joined(units.where("copies % rows > 0")).dropDuplicates([f"__sw_d_{c}" for c in key])
+    odd = saved(units.where("copies % rows > 0"), "mixing-odd")  # small as a rule, which Spark can then see
+    odd = joined(odd).dropDuplicates([f"__sw_d_{c}" for c in key])
     return each.select(*own).unionByName(_runs(odd, F.expr("__sw_copies % __sw_rows"), F.lit(0)).select(*own))

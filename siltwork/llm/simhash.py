@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from siltwork.llm.common import Scratch, map_texts, saved, slices
 from siltwork.llm.components import components, open_buckets
+from siltwork.llm.rows import keep_firsts
 
 LIMIT = 2048
 
@@ -257,29 +258,4 @@ def keep_first(docs: DataFrame, radius: int = 4, words: int = 4, id_column: str
     stays.
     """
     rows = saved(fingerprints(docs, id_column, text_column, words), "simhash-rows")
-    groups = near_groups(rows.select("id", "fp"), radius)
-    chosen = choose_first(rows.join(groups, "fp"))
-    return keep_chosen(docs, chosen, id_column, text_column)
-
-
-def choose_first(rows: DataFrame) -> DataFrame:
-    """(id, salt, n) of the row that stays of each root of ``rows`` (id, salt, root), and how many rows repeat it."""
-    counted = rows.groupBy("root", "id", "salt").agg(F.count(F.lit(1)).alias("n"))
-    first = counted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "salt", "n")).alias("c"))
-    return saved(first.select("c.id", "c.salt", "c.n"), "kept-rows")
-
-
-def keep_chosen(docs: DataFrame, chosen: DataFrame, id_column: str = "doc_id", text_column: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``docs`` that (id, salt, n) of ``chosen`` names, one of those that repeat id and text; columns untouched.
-
-    One join on ids and hashes, which shuffles texts only where Spark finds ``chosen`` too large to broadcast. Rows that
-    repeat are reduced in their tasks first. ``also`` are columns of ``chosen`` to hand on.
-    """
-    keyed = docs.withColumns({"__sw_id": F.col(id_column), "__sw_salt": F.xxhash64(F.col(text_column))})
-    out = [F.col(f"`{c}`") for c in docs.columns] + [F.col(f"__sw_c_{c}").alias(c) for c in also]
-
-    def joined(some: DataFrame) -> DataFrame:
-        return keyed.join(some.select(*[F.col(c).alias(f"__sw_c_{c}") for c in some.columns]), F.expr("__sw_id <=> __sw_c_id and __sw_salt <=> __sw_c_salt"))
-
-    one = joined(chosen.where("n = 1")).select(*out)
-    return one.unionByName(joined(chosen.where("n > 1")).dropDuplicates(["__sw_id", "__sw_salt"]).select(*out))
+    return keep_firsts(docs, rows.join(near_groups(rows.select("id", "fp"), radius), "fp"), id_column, text_column)

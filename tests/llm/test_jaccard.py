@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from siltwork.llm import jaccard, simhash
+from siltwork.llm import jaccard, rows, simhash
 
 
 def shingles(text):
@@ -53,20 +53,20 @@ def near_copies():
 
 
 def test_stage_equals_brute_force(spark):
-    rows = near_copies()
-    pairs = [(shingles(a), shingles(b)) for (_, a), (_, b) in zip(rows[5:125:2], rows[6:125:2])]
+    data = near_copies()
+    pairs = [(shingles(a), shingles(b)) for (_, a), (_, b) in zip(data[5:125:2], data[6:125:2])]
     likeness = [len(a & b) / len(a | b) for a, b in pairs]
     assert sum(0.8 <= j < 0.85 for j in likeness) >= 10 and sum(j < 0.8 for j in likeness) >= 10
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     kept = corpus_pipeline.near_dedup(spark, docs, "")
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(data)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
 def test_documents_equal_brute_force(spark, data_dir):
     docs = spark.read.parquet(f"{data_dir}/documents.parquet")
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    assert sorted(r.doc_id for r in jaccard.keep_first(docs).collect()) == kept_by_brute_force(rows)
+    data = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert sorted(r.doc_id for r in jaccard.keep_first(docs).collect()) == kept_by_brute_force(data)
 
 
 def test_linked_sets_equal_brute_force():
@@ -104,14 +104,26 @@ def test_small_shards_lose_nothing(spark, monkeypatch):
 def test_one_id_with_several_texts(spark):
     """Ids repeat: decisions are by group and text, not by id."""
     a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
-    rows = [(3, a, 1), (5, a.upper(), 2), (5, b, 3), (None, "other text here", 4), (7, b, 5), (7, b, 5), (None, "another", 6), (5, "third of five", 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    data = [(3, a, 1), (5, a.upper(), 2), (5, b, 3), (None, "other text here", 4), (7, b, 5), (7, b, 5), (None, "another", 6), (5, "third of five", 7)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, n long")
     for keep in (jaccard.keep_first, simhash.keep_first):
         assert sorted(r.n for r in keep(docs).collect()) == [1, 3, 4, 6, 7]
 
 
 def test_a_hot_repeated_row(spark):
-    rows = spark.range(30_000).selectExpr("7L AS doc_id", "'the same words in every row here' AS text", "id AS extra")
+    hot = spark.range(30_000).selectExpr("7L AS doc_id", "'the same words in every row here' AS text", "id AS extra")
     rest = spark.range(50).selectExpr("id + 100 AS doc_id", "repeat(concat('w', id, ' x', id * 3, ' '), 9) AS text", "id AS extra")
-    kept = jaccard.keep_first(rows.unionByName(rest)).collect()
+    kept = jaccard.keep_first(hot.unionByName(rest)).collect()
     assert len(kept) == 51 and sum(r.doc_id == 7 for r in kept) == 1
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    """Past its bound the bitmap holds rows that no key has; the exact join decides."""
+    monkeypatch.setattr(rows.Sieve.__init__, "__defaults__", (6,))
+    docs = spark.createDataFrame([(k % 150, f"text {k}") for k in range(300)], "doc_id long, text string")
+    found = docs.selectExpr("doc_id AS id", "xxhash64(text) AS salt", "doc_id % 60 AS root")
+    kept = rows.keep_firsts(docs, found).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(60))
+    chosen = docs.where("doc_id < 20").selectExpr("doc_id AS id", "xxhash64(text) AS salt", "text AS own")
+    got = rows.rows_of(docs, chosen, also=("own",)).collect()
+    assert len(got) == 40 and all(r.text == r.own for r in got)
