@@ -16,7 +16,7 @@ RETRYABLE_EMBED = [408, 429, 500, 502, 503, 504]
 PERMANENT_CLIENT = [400, 401, 403, 404, 405, 410, 422, 451]
 RETRYABLE_CLIENT = [408, 409, 425, 429]
 EMAIL = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$"
-YOUTUBE = r"(?i)^(?:https?://)?(?:www\.|m\.)?(?:youtube\.com/(?:watch\?v=|embed/|v/|shorts/)|youtu\.be/)[A-Za-z0-9_-]{11}"
+YOUTUBE = r"^(https?://)?(www\.)?(youtube\.com/(watch\?v=|embed/)|youtu\.be/)[\w-]+"
 MAX_RETRIES = 5
 
 
@@ -47,6 +47,11 @@ def matches_keywords(text: Column, query: Column) -> Column:
     return (F.size(wanted) > 0) & F.forall(wanted, lambda t: F.array_contains(have, t))
 
 
+def strip(text: Column) -> Column:
+    """Without Unicode white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def collapse_whitespace(text: Column) -> Column:
     """Unicode white space runs become one space, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -56,6 +61,9 @@ def blank(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "") == ""
 
 
+# The line patterns of Markdown in the next three functions.
+
+
 def plain_markdown(text: Column) -> Column:
     """Images out, links to their text, white space collapsed."""
     no_images = F.regexp_replace(text, r"!\[[^\]]*\]\([^)]+\)", "")
@@ -77,16 +85,16 @@ def is_table_line(line: Column) -> Column:
 
 def strip_list_marks(text: Column) -> Column:
     """Leading ``- ``, ``* ``, ``+ `` in this order, then a number with its point, each once."""
-    out = F.trim(text)
+    out = strip(text)
     for mark in ("- ", "* ", "+ "):
-        out = F.when(out.startswith(mark), F.trim(F.substring(out, 3, 1 << 30))).otherwise(out)
-    return F.trim(F.regexp_replace(out, r"^\d+\. ", ""))
+        out = F.when(out.startswith(mark), strip(F.substring(out, 3, 1 << 30))).otherwise(out)
+    return strip(F.regexp_replace(out, r"^\d+\. ", ""))
 
 
 def list_items(text: Column) -> Column:
     """Items of a list text, cut at semicolons and line ends; the whole text if there is none."""
     parts = F.filter(F.transform(F.split(text, "[;\n]"), strip_list_marks), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(text)))
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(strip(text)))
 
 
 def section_label(title: Column, path: Column) -> tuple[Column, Column]:
@@ -108,9 +116,18 @@ def valid_url(url: Column) -> Column:
 
 
 def source_type(url: Column) -> Column:
-    """'' for blank, youtube, pdf by the path's end, else web."""
-    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.when(blank(url), "").when(F.trim(url).rlike(YOUTUBE), "youtube").when(F.lower(path).endswith(".pdf"), "pdf").otherwise("web")
+    """'' for blank, youtube, pdf by the end of the decoded path, else web.
+
+    A path needs no scheme before it; after a scheme it begins with a slash. Control characters, percent signs that
+    escape nothing and a colon in the first part of a path without scheme make no URL.
+    """
+    bare = F.regexp_replace(url, r"(?s)[?#].*$", "")
+    schemed = bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    rest = F.regexp_replace(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
+    path = F.regexp_replace(rest, r"^//[^/]*", "")
+    good = F.when(schemed, rest.startswith("/")).otherwise(~bare.rlike(r"^[^/]*:")) & ~url.rlike(r"[\x00-\x1f\x7f]") & ~path.rlike(r"%(?![0-9A-Fa-f]{2})")
+    pdf = path.rlike(r"(?i)(\.|%2e)(p|%50|%70)(d|%44|%64)(f|%46|%66)$")
+    return F.when(blank(url), "").when(url.rlike(YOUTUBE), "youtube").when(good & pdf, "pdf").otherwise("web")
 
 
 def minutes(count: Column) -> Column:

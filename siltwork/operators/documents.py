@@ -14,7 +14,7 @@ from siltwork.functions import blocks as B
 from siltwork.functions import chunking as C
 from siltwork.functions import embedding as E
 from siltwork.functions import markup
-from siltwork.functions.expr import collapse_whitespace
+from siltwork.functions.expr import collapse_whitespace, strip
 from siltwork.functions.tokens import default_counter
 
 BLOCK_SCHEMA = "id long, block_index int, clean_method string, section_title string, section_path string, heading_level int, type string, text string"
@@ -88,9 +88,14 @@ def chunk_documents(docs: DataFrame, counter: Callable[[], Callable[[str], int]]
     return map_rows(docs.select("doc_id", "text"), CHUNK_SCHEMA, make).withColumnRenamed("id", "doc_id")
 
 
-def plain_text_blocks(docs: DataFrame, separator: str = "\n") -> DataFrame:
-    """(doc_id, pos, text) of each part of 30 bytes or more, in SQL functions only."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", separator)).alias("pos", "part"))
+def plain_text_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, text) of each part of 30 bytes or more, in SQL functions only.
+
+    Parts are cut at blank lines if the text has one between its first and last word, else at line ends.
+    """
+    text = strip(F.col("text"))
+    cut = F.when(text.contains("\n\n"), F.split(text, "\n\n")).otherwise(F.split(text, "\n"))
+    parts = docs.select("doc_id", F.posexplode(cut).alias("pos", "part"))
     rows = parts.select("doc_id", "pos", collapse_whitespace(F.col("part")).alias("text"))
     return rows.where(F.octet_length("text") >= 30)
 
@@ -104,6 +109,12 @@ def sentences(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "id long, pos int, sentence string", make).withColumnRenamed("id", "doc_id")
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens) counted in words, in SQL functions only."""
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    return docs.select("doc_id", n.alias("n_tokens"))
+
+
 def token_counts(docs: DataFrame, counter: Callable[[], Callable[[str], int]] = default_counter) -> DataFrame:
     def make():
         count = counter()
@@ -112,6 +123,49 @@ def token_counts(docs: DataFrame, counter: Callable[[], Callable[[str], int]] =
     return map_rows(docs.select("doc_id", "text"), "id long, n_tokens int", make).withColumnRenamed("id", "doc_id")
 
 
+def embed_by_source(chunks: DataFrame, embed: Callable[[], E.EmbedFn], dimension: int, batch: int = E.BATCH) -> DataFrame:
+    """(id, source_id, embedding, error) of chunks (id, source_id, content); a narrow pass.
+
+    Chunks of a source that follow each other in an Arrow batch are embedded together, so a call that fails for good
+    spoils its own source only: its chunks come out without a vector and with the error.
+    """
+    kind = T.StructType.fromDDL("id long, source_id long, embedding array<float>, error string")
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = embed()
+        for b in batches:
+            sources, texts = b.column(1).to_pylist(), b.column(2).to_pylist()
+            vectors, errors, start = [], [], 0
+            for end in range(1, len(sources) + 1):
+                if end < len(sources) and sources[end] == sources[start]:
+                    continue
+                try:
+                    vectors += E.embed_batches(texts[start:end], model, dimension, batch)[0]
+                    errors += [None] * (end - start)
+                except E.EmbedError as e:
+                    vectors += [None] * (end - start)
+                    errors += [str(e)] * (end - start)
+                start = end
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vectors, arrow[2].type), pa.array(errors, pa.string())], schema=arrow)
+
+    return chunks.select(F.col("id").cast("long").alias("id"), F.col("source_id").cast("long").alias("source_id"), F.coalesce("content", F.lit("")).alias("content")).mapInArrow(run, kind)
+
+
+def batch_statistics(chunks: DataFrame, embed: Callable[[], E.EmbedFn], dimension: int, batch: int = E.BATCH) -> DataFrame:
+    """One row: chunks, calls, retries and cold calls of embedding ``chunks`` (id, content), and the smallest last batch size."""
+    schema = "n_chunks long, batches long, retries long, cold_start_batches long, final_batch_size long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = embed()
+        for b in batches:
+            _, s = E.embed_batches(b.column(1).to_pylist(), model, dimension, batch)
+            yield pa.RecordBatch.from_pylist([{"n_chunks": b.num_rows, "batches": s.batches, "retries": s.retries, "cold_start_batches": s.cold_start_batches, "final_batch_size": s.final_batch_size}])
+
+    each = chunks.select("id", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(run, schema)
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_chunks", "batches", "retries", "cold_start_batches")], F.min("final_batch_size").alias("final_batch_size"))
+
+
 def embed_chunks(chunks: DataFrame, embed: Callable[[], E.EmbedFn], dimension: int, batch: int = E.BATCH) -> DataFrame:
     """(id, embedding) of chunks (id, content); adaptive batches run inside each Arrow batch, order kept."""
     kind = T.StructType.fromDDL("id long, embedding array<float>")

@@ -24,7 +24,7 @@ def insert_unique(new: DataFrame, keys: list[str], order: list[str], present: Da
 
     Duplicates carry the column ``reason``: batch or present.
     """
-    ranked = new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    ranked = new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))  # the join below keeps its partitioning
     held = present.select(*keys).distinct().withColumn("_held", F.lit(True)) if present is not None else None
     ranked = ranked.join(held, keys, "left") if held is not None else ranked.withColumn("_held", F.lit(None).cast("boolean"))
     fresh = F.col("_held").isNull() & (F.col("_n") == 1)
@@ -69,23 +69,36 @@ def advance_step(sources: DataFrame, requests: DataFrame) -> DataFrame:
     return updated(rows, status=F.col("req_status"), current_step=F.coalesce("req_step", "current_step"), version=F.col("version") + 1).select(*sources.columns)
 
 
-def fail_sources(failed: DataFrame, as_of: Column) -> DataFrame:
-    """Failed or, after the fifth failure, stale; a stale one has had two changes and keeps its due time."""
+def fail_sources(sources: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Sources as failed by requests (id, expected, step, error), or after the fifth failure as stale.
+
+    A request changes a source that is still ingesting at the expected version; the others are ``conflicts``. A stale one
+    has had two changes and keeps its due time. Column ``step_error`` is added where it is absent.
+    """
     count = F.coalesce("retry_count", F.lit(0))
     gone = count + 1 >= MAX_RETRIES
-    return updated(
-        failed,
+    return _changed(
+        sources, requested(sources, requests, "ingesting"), "step_error",
         status=F.when(gone, "stale").otherwise("failed"),
+        current_step=F.col("req_step"),
         retry_count=count + 1,
         next_retry_at=retry_at(as_of, count),
         updated_at=as_of,
         version=F.col("version") + F.when(gone, 2).otherwise(1),
-    )
+    )
 
 
-def stale_sources(given_up: DataFrame, as_of: Column) -> DataFrame:
+def stale_sources(sources: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Sources given up by requests (id, expected, step, error), under the guard of ``fail_sources``."""
     count = F.coalesce("retry_count", F.lit(0))
-    return updated(given_up, status=F.lit("stale"), retry_count=count + 1, next_retry_at=F.lit(None), updated_at=as_of, version=F.col("version") + 1)
+    rows = requested(sources, requests, "ingesting")
+    return _changed(sources, rows, "step_error", status=F.lit("stale"), current_step=F.col("req_step"), retry_count=count + 1, next_retry_at=F.lit(None), updated_at=as_of, version=F.col("version") + 1)
+
+
+def _changed(state: DataFrame, rows: DataFrame, error: str, **changes: Column) -> DataFrame:
+    """``updated`` rows with the request's error, in the columns of ``state`` and the error's."""
+    rows = rows.withColumn(error, F.col("req_error"))
+    return updated(rows, **changes).select(*dict.fromkeys([*state.columns, error]))
 
 
 def reclaim_sources(sources: DataFrame, as_of: Column, stuck_minutes: int = 10) -> DataFrame:
@@ -104,24 +117,30 @@ def reclaim_sources(sources: DataFrame, as_of: Column, stuck_minutes: int = 10)
     )
 
 
+def _locked(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Jobs in process that a request (id, expected, worker) may change: the lock must be absent or the worker's."""
+    own = F.col("locked_by").isNull() | (F.col("locked_by") == F.nullif(F.col("req_worker"), F.lit("")))
+    return requested(jobs, requests, "processing").where(own)
+
+
 def complete_jobs(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Jobs done (id, expected, worker): the lock must be absent or the worker's."""
-    rows = requested(jobs, requests, "processing").where(F.col("locked_by").isNull() | (F.col("locked_by") == F.nullif(F.col("req_worker"), F.lit(""))))
+    """Jobs done (id, expected, worker)."""
     none = F.lit(None)
-    return updated(rows, status=F.lit("completed"), locked_at=none, locked_by=none, version=F.col("version") + 1).select(*jobs.columns)
+    return updated(_locked(jobs, requests), status=F.lit("completed"), locked_at=none, locked_by=none, version=F.col("version") + 1).select(*jobs.columns)
 
 
-def fail_jobs(failed: DataFrame, as_of: Column) -> DataFrame:
+def fail_jobs(jobs: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Jobs as failed by requests (id, expected, worker, error), or dead after the last attempt; ``last_error`` is added."""
     gone = F.col("attempts") + 1 >= F.col("max_attempts")
-    return updated(
-        failed,
+    return _changed(
+        jobs, _locked(jobs, requests), "last_error",
         status=F.when(gone, "dead").otherwise("failed"),
         run_after=retry_at(as_of, F.col("attempts")),
         attempts=F.col("attempts") + 1,
         locked_at=F.lit(None),
         locked_by=F.lit(None),
         version=F.col("version") + F.when(gone, 2).otherwise(1),
-    )
+    )
 
 
 def reclaim_jobs(jobs: DataFrame, as_of: Column, stuck_minutes: int = 10) -> DataFrame:
@@ -145,6 +164,63 @@ def update_rows(state: DataFrame, requests: DataFrame, columns: list[str]) -> Da
     return updated(rows, **{c: F.coalesce(f"req_{c}", c) for c in columns}, version=F.col("version") + 1).select(*state.columns)
 
 
+def update_unique(state: DataFrame, requests: DataFrame, columns: list[str], unique: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(updated rows, rejected requests with ``reason``) where the values of ``unique`` must stay unique in the table.
+
+    Reasons: conflict for a version that has moved on, duplicate for values that another row holds, or that a request of
+    a smaller id takes first. Rows that the updates leave count as held, as they are when each is made on its own.
+    """
+    new = update_rows(state, requests, columns)
+    held = state.select(F.col("id").alias("_other"), *[F.col(c) for c in unique])
+    taken = new.join(held, unique).where("id <> _other").select("id").distinct()
+    turn = F.row_number().over(Window.partitionBy(*unique).orderBy("id"))
+    first = new.join(taken, "id", "left_anti").withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    stale = requests.join(new.select("id"), "id", "left_anti").withColumn("reason", F.lit("conflict"))
+    refused = requests.join(new.select("id").join(first.select("id"), "id", "left_anti"), "id", "left_semi").withColumn("reason", F.lit("duplicate"))
+    return first, stale.unionByName(refused)
+
+
+def insert_rows(new: DataFrame, defaults: dict[str, Column], keys: list[str], order: list[str], present: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(inserted, duplicates) of ``new`` into ``present``: columns that are absent or null take their default first."""
+    filled = new.withColumns({c: F.coalesce(F.col(c), v) if c in new.columns else v for c, v in defaults.items()})
+    return insert_unique(filled, keys, order, present)
+
+
+# What a new row has where nothing is given.
+COLLECTION_DEFAULTS = {"description": "", "max_sources": 20, "version": 1}
+SOURCE_DEFAULTS = {"title": "", "status": "pending", "retry_count": 0, "metadata": "{}", "version": 1}
+JOB_DEFAULTS = {"status": "pending", "attempts": 0, "max_attempts": 5, "version": 1}
+USER_DEFAULTS = {"fullname": "", "activated": False, "version": 1}
+
+
+def insert_collections(new: DataFrame, present: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Collections (id, user_id, title[, ...]); a title is unique among a user's."""
+    return insert_rows(new, _stamped(COLLECTION_DEFAULTS, as_of), ["user_id", "title"], ["id"], present)
+
+
+def insert_sources(new: DataFrame, present: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Sources (id, collection_id, url[, ...]); a URL is unique in its collection."""
+    return insert_rows(new, _stamped(SOURCE_DEFAULTS, as_of), ["collection_id", "url"], ["id"], present)
+
+
+def insert_users(new: DataFrame, present: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Users (id, email[, ...]); an e-mail address is unique in any case of its letters."""
+    folded = lambda df: df.withColumn("_email", F.lower("email"))
+    done, refused = insert_rows(folded(new), _stamped(USER_DEFAULTS, as_of), ["_email"], ["id"], folded(present))
+    return done.drop("_email"), refused.drop("_email")
+
+
+def insert_jobs(new: DataFrame, present: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Embedding jobs (id, source_id, source_version[, ...]); one of them may be active for a source and version."""
+    active = present.where(F.col("status").isin("pending", "processing", "failed"))
+    stamped = {c: F.lit(v) for c, v in JOB_DEFAULTS.items()} | {"run_after": as_of}
+    return insert_rows(new, stamped, ["source_id", "source_version"], ["id"], active)
+
+
+def _stamped(values: dict, as_of: Column) -> dict[str, Column]:
+    return {c: F.lit(v) for c, v in values.items()} | {"created_at": as_of, "updated_at": as_of}
+
+
 def apply_changes(state: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
     """The whole new state: changed rows in the place of the old ones of the same key."""
     return state.join(changed.select(key), key, "left_anti").unionByName(changed.select(*state.columns))
@@ -174,6 +250,13 @@ def delete_owned_source(sources: DataFrame, collections: DataFrame, source_id: i
     return sources.join(hit, "id", "left_anti")
 
 
+def delete_user(gone: DataFrame, users: DataFrame, tokens: DataFrame, collections: DataFrame, sources: DataFrame, chunks: DataFrame) -> list[DataFrame]:
+    """What is left of users, tokens, collections, sources and chunks without the users of ``gone`` (id)."""
+    ids = gone.select("id").distinct()
+    left = [users.join(ids, "id", "left_anti").select(*users.columns), tokens.join(ids.withColumnRenamed("id", "user_id"), "user_id", "left_anti").select(*tokens.columns)]
+    return left + delete_cascade(ids, [(collections, "user_id"), (sources, "collection_id"), (chunks, "source_id")])
+
+
 def set_embeddings(chunks: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
     """Chunks with the vectors (id, embedding) put in; a vector of another length raises."""
     checked = vectors.select("id", F.when(F.size("embedding") == dimension, F.col("embedding")).otherwise(F.raise_error(F.lit("wrong vector length"))).alias("_new"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,30 +16,90 @@ from siltwork.functions.expr import cosine_distance
 def search(vectors: DataFrame, sources: DataFrame, query: list[float], k: int, collection_id: int | None = None) -> DataFrame:
     """The ``k`` nearest searchable chunks of one query vector, nearest first.
 
-    Searchable: the source is completed, the chunk has a vector. The query is a literal, so the plan is a scan with
-    pushed filters, one join and a top-k that sends k rows a task to the driver's side.
+    Searchable: the source is completed, the chunk has a vector. The query is a literal, so distances are computed in the
+    scan, with pushed filters; the join moves ids and distances only, and a task sends k rows to the top-k.
     """
     done = sources.where(F.col("status") == "completed")
     if collection_id is not None:
         done = done.where(F.col("collection_id") == collection_id)
     literal = F.array(*[F.lit(float(x)) for x in query])
-    hits = vectors.where(F.col("embedding").isNotNull()).join(done.select(F.col("id").alias("source_id"), F.col("url").alias("source_url")), "source_id")
-    rows = hits.select(F.col("id").alias("chunk_id"), "source_id", "source_url", cosine_distance(F.col("embedding"), literal).alias("distance"))
+    near = vectors.where(F.col("embedding").isNotNull()).select(F.col("id").alias("chunk_id"), "source_id", cosine_distance(F.col("embedding"), literal).alias("distance"))
+    rows = near.join(done.select(F.col("id").alias("source_id"), F.col("url").alias("source_url")), "source_id").select("chunk_id", "source_id", "source_url", "distance")
     return rows.orderBy(F.col("distance").asc_nulls_last(), "chunk_id").limit(k)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, k: int, other_than_self: bool = False) -> DataFrame:
-    """(query_id, chunk_id, distance, rank) of the ``k`` nearest vectors of each query (query_id, query).
+def search_many(vectors: DataFrame, queries: DataFrame, k: int, other_than_self: bool = False, block: int = 4096) -> DataFrame:
+    """(query_id, chunk_id, distance, rank[, label, query_label]) of the ``k`` nearest vectors of each query (query_id, query).
 
-    A stated, small query set meets all rows. Ranks are filtered in each task before they are shuffled, so a task
-    sends at most k rows a query.
+    The stated query set meets all rows in blocks of at most ``block`` queries: a block is one matrix, which bounds what
+    is collected and sent to the tasks. A task multiplies its Arrow batches with it and hands on k rows a query, which are
+    ranked again over all tasks. Distances are rounded to twelve decimals; ties go to the smaller id.
     """
-    pairs = vectors.where(F.col("embedding").isNotNull()).crossJoin(queries)
-    if other_than_self:
-        pairs = pairs.where(F.col("id") != F.col("query_id"))
-    rows = pairs.select("query_id", F.col("id").alias("chunk_id"), cosine_distance(F.col("embedding"), F.col("query")).alias("distance"), *[c for c in ("label", "query_label") if c in pairs.columns])
+    extra = [c for c in ("label",) if c in vectors.columns] + [c for c in ("query_label",) if c in queries.columns]
+    rows = vectors.where(F.col("embedding").isNotNull()).select("id", "embedding", *[c for c in extra if c == "label"])
+    blocks = max(1, -(-queries.count() // block))
+    parts = []
+    for n in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).orderBy("query_id").toArrow()
+        parts.append(rows.mapInArrow(_nearest(own, k, other_than_self, extra), _near_schema(vectors, queries, extra)))
+    near = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _near_schema(vectors: DataFrame, queries: DataFrame, extra: list[str]) -> str:
+    kinds = {c: t for df in (vectors, queries) for c, t in df.dtypes}
+    return f"query_id {kinds['query_id']}, chunk_id {kinds['id']}, distance double" + "".join(f", {c} {kinds[c]}" for c in extra)
+
+
+def _matrix(lists, size: int) -> np.ndarray:
+    """Rows of unit length in double precision; NaN where a vector is zero, null in part or of another length."""
+    out = np.full((len(lists), size), np.nan)
+    for n, values in enumerate(lists):
+        if values.is_valid and len(values) == size:
+            out[n] = values.values.to_numpy(zero_copy_only=False)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.sqrt((out * out).sum(1, keepdims=True))
+
+
+def _nearest(queries: pa.Table, k: int, other_than_self: bool, extra: list[str]):
+    ids = queries.column("query_id").combine_chunks()
+    lists = queries.column("query").combine_chunks()
+    size = max(map(len, lists), default=0)
+    matrix, own = _matrix(lists, size), ids.to_numpy(zero_copy_only=False)
+    carried = {c: queries.column(c).combine_chunks() for c in extra if c == "query_label"}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            if not len(own):
+                continue
+            chunk_ids = batch.column("id").to_numpy(zero_copy_only=False)
+            distance = np.round(1 - matrix @ _matrix(batch.column("embedding"), size).T, 12)
+            keys = np.where(np.isnan(distance), np.inf, distance)
+            if other_than_self:
+                keys[own[:, None] == chunk_ids[None]] = np.nan
+            kept = np.lexsort((np.broadcast_to(chunk_ids, keys.shape), keys), axis=1)[:, :k]
+            q, c = np.repeat(np.arange(len(own)), kept.shape[1]), kept.ravel()
+            some = ~np.isnan(keys[q, c])
+            q, c = q[some], c[some]
+            columns = {"query_id": ids.take(pa.array(q)), "chunk_id": batch.column("id").take(pa.array(c)), "distance": pa.array(distance[q, c])}
+            for name in extra:
+                columns[name] = carried[name].take(pa.array(q)) if name in carried else batch.column(name).take(pa.array(c))
+            found = pa.table(columns)
+            best = found if best is None else _first(pa.concat_tables([best, found]), k)
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    return run
+
+
+def _first(rows: pa.Table, k: int) -> pa.Table:
+    """The ``k`` nearest rows of each query."""
+    q, d, c = (rows.column(n).to_numpy() for n in ("query_id", "distance", "chunk_id"))
+    order = np.lexsort((c, d, q))
+    turn = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+    return rows.take(pa.array(order[turn < k]))
 
 
 def retrieval_quality(ranked: DataFrame, queries: DataFrame, relevant: Column) -> DataFrame:
@@ -46,21 +111,29 @@ def retrieval_quality(ranked: DataFrame, queries: DataFrame, relevant: Column) -
     return every.agg(F.count(F.lit(1)).alias("n_queries"), hit(1).alias("hit_at_1"), hit(5).alias("hit_at_5"), mrr.alias("mrr"))
 
 
-NOT_ENOUGH = "I don't have enough information in this collection to answer that question."
+def cite_rate(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row: answers (query_id, answer), and the share of them that names the URL of one of their hits (query_id, url)."""
+    cited = answers.join(hits.select("query_id", "url"), "query_id").where(F.col("answer").contains(F.col("url"))).select("query_id").distinct()
+    both = answers.join(cited.withColumn("_c", F.lit(1.0)), "query_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("n_answers"), F.coalesce(F.avg(F.coalesce("_c", F.lit(0.0))), F.lit(0.0)).alias("cite_rate"))
+
+
+# The answer without hits and the layout of a passage.
+NOT_ENOUGH = "I don't have enough information in the provided sources to answer that."
+PASSAGE = "[%d]\nTitle: %s\nURL: %s\nSection: %s\nChunkIndex: %d\nDistance: %.4f\nContent:\n%s\n\n"
 SYSTEM = "You answer questions using only the numbered context passages. Cite the source URLs that support each statement. If the passages don't contain the answer, say so."
 
 
 def prompt(hits: DataFrame, question: Column, by: list[str]) -> DataFrame:
     """(by, prompt): numbered passages of ranked hits (rank, title, document_title, url, section, chunk_index, distance, content)."""
-    filled = lambda c, other: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", other).otherwise(F.col(c))
+    filled = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
     title = filled("title", filled("document_title", F.lit("(untitled)")))
     passage = F.format_string(
-        "[%d] Title: %s\nURL: %s\nSection: %s\nChunk: %d\nDistance: %.4f\n%s",
-        F.col("rank"), title, F.col("url"), filled("section", F.lit("(none)")), F.col("chunk_index"), F.col("distance"), F.col("content"),
+        PASSAGE, F.col("rank"), title, F.col("url"), filled("section", F.lit("(none)")), F.col("chunk_index"), F.col("distance"), F.col("content"),
     )
     one = hits.select(*by, question.alias("_q"), F.struct(F.col("rank").alias("r"), passage.alias("p")).alias("_p"))
     parts = one.groupBy(*by, "_q").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
-    return parts.select(*by, F.concat(F.lit("Question: "), F.col("_q"), F.lit("\n\nContext:\n"), F.array_join(F.transform("_p", lambda x: x["p"]), "\n\n")).alias("prompt"))
+    return parts.select(*by, F.concat(F.lit("Question:\n"), F.col("_q"), F.lit("\n\nContext:\n"), F.array_join(F.transform("_p", lambda x: x["p"]), "")).alias("prompt"))
 
 
 def flatten_messages(messages: DataFrame, by: str, turn: str, role: str, text: str) -> DataFrame:

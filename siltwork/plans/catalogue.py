@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.functions import chunking, expr
+from siltwork.functions.embedding import EmbedError
 from siltwork.functions.tokens import words
 from siltwork.operators import ann, documents, mutations, relational, search, validation
+from siltwork.operators.jobs import embed_claimed
+from siltwork.sources import fetch
 from siltwork.sources.views import load
 from siltwork.streaming import queues
 
@@ -27,6 +31,16 @@ def query(f: Query) -> Query:
     return f
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    return root.rstrip("/")
+
+
 def jobs_at():
     return F.expr(JOBS_AT)
 
@@ -296,14 +310,19 @@ def update_conflicts(spark, d):
     return mutations.conflicts(load(spark, d, "v_sources"), step_requests(spark, d), "ingesting").select("id", "expected")
 
 
+def failures(spark, d):
+    """Requests of workers for all sources, each eleventh of them with a version that has moved on."""
+    return step_requests(spark, d).select("id", "expected", F.lit("chunk").alias("step"), F.concat(F.lit("boom "), F.col("id").cast("string")).alias("error"))
+
+
 @query
 def fail_source(spark, d):
-    return mutations.fail_sources(load(spark, d, "v_sources").where("status = 'ingesting'"), sources_at())
+    return mutations.fail_sources(load(spark, d, "v_sources"), failures(spark, d), sources_at())
 
 
 @query
 def stale_source(spark, d):
-    return mutations.stale_sources(load(spark, d, "v_sources").where("status = 'ingesting'"), sources_at())
+    return mutations.stale_sources(load(spark, d, "v_sources"), failures(spark, d), sources_at())
 
 
 @query
@@ -320,7 +339,174 @@ def complete_job(spark, d):
 
 @query
 def fail_job(spark, d):
-    return mutations.fail_jobs(load(spark, d, "v_jobs").where("status = 'processing'"), jobs_at())
+    jobs = load(spark, d, "v_jobs")
+    expected = F.expr("CAST(id % 7 + 1 + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS INT)")
+    requests = jobs.select("id", expected.alias("expected"), F.expr("'embedding-worker-' || CAST(id % 2 AS STRING)").alias("worker"), F.lit("timeout").alias("error"))
+    return mutations.fail_jobs(jobs, requests, jobs_at())
+
+
+@query
+def embedding_job(spark, d):
+    """Jobs in process of worker 2: chunks are documents, a text of over 30,000 characters makes the model refuse."""
+    jobs, sources = load(spark, d, "v_jobs"), load(spark, d, "v_sources")
+    docs = load(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("id"), F.expr("doc_id % 400 + 1").alias("source_id"), F.col("text").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+    claimed = jobs.where("status = 'processing' AND id % 3 > 0")
+
+    def model():
+        def embed(texts, task):
+            if any(len(t) > 30_000 for t in texts):
+                raise EmbedError(400, "a text is too long")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    out = embed_claimed(claimed, jobs, sources, chunks, model, 2, "embedding-worker-2", jobs_at())
+    own = out.jobs.select("id", "status", "attempts", "version", "last_error")
+    return out.results.select("id", "source_id", "n_chunks").join(own, "id")
+
+
+@query
+def embedding_job_chunks(spark, d):
+    """What the chunks of a round look like afterwards: sources with vectors, and the sum of their first components."""
+    jobs, sources = load(spark, d, "v_jobs"), load(spark, d, "v_sources")
+    docs = load(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("id"), F.expr("doc_id % 400 + 1").alias("source_id"), F.col("text").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+
+    def model():
+        return lambda texts, task: [[float(len(t)), 1.0] for t in texts]
+
+    out = embed_claimed(jobs.where("status = 'processing'"), jobs, sources, chunks, model, 2, "embedding-worker-2", jobs_at())
+    return out.chunks.groupBy("source_id").agg(F.count("embedding").alias("n_vectors"), F.sum(F.col("embedding")[0].cast("double")).alias("total"))
+
+
+@query
+def set_embeddings(spark, d):
+    chunks = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("array<float>").alias("embedding"))
+    vectors = load(spark, d, "v_vectors").select("id", "embedding")
+    out = mutations.set_embeddings(chunks, vectors, 64)
+    return out.select("id", F.size("embedding").alias("dimension"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@query
+def insert_collections(spark, d):
+    present = load(spark, d, "v_collections")
+    new = load(spark, d, "customer").select((F.col("c_custkey") + 1_000_000).alias("id"), F.col("c_nationkey").alias("user_id"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment || ' ' || c_name ELSE c_mktsegment END").alias("title"), F.expr("CASE WHEN c_custkey % 2 = 0 THEN 7 END").alias("max_sources"))
+    return mutations.insert_collections(new, present, jobs_at())[0]
+
+
+@query
+def insert_collections_refused(spark, d):
+    present = load(spark, d, "v_collections")
+    new = load(spark, d, "customer").select((F.col("c_custkey") + 1_000_000).alias("id"), F.col("c_nationkey").alias("user_id"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment || ' ' || c_name ELSE c_mktsegment END").alias("title"))
+    return mutations.insert_collections(new, present, jobs_at())[1].select("id", "reason")
+
+
+@query
+def insert_sources(spark, d):
+    present = load(spark, d, "v_sources")
+    new = load(spark, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 9).alias("collection_id"), F.expr("CASE WHEN page_id % 5 = 0 THEN 'http://same.example/' ELSE url END").alias("url"))
+    return mutations.insert_sources(new, present, jobs_at())[0]
+
+
+@query
+def insert_users(spark, d):
+    present = load(spark, d, "v_users")
+    new = load(spark, d, "supplier").select((F.col("s_suppkey") + 100).alias("id"), F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'FRANCE@example.com' ELSE 'S' || CAST(s_suppkey div 2 AS STRING) || '@x.example' END").alias("email"))
+    return mutations.insert_users(new, present, jobs_at())[0]
+
+
+@query
+def update_users(spark, d):
+    """E-mail changes: each third user asks for a neighbour's address, each fifth has an old version."""
+    users = load(spark, d, "v_users").withColumn("version", F.expr("CAST(id % 3 + 1 AS INT)"))
+    return mutations.update_unique(users, user_requests(users), ["email", "activated"], ["email"])[0]
+
+
+@query
+def update_users_refused(spark, d):
+    users = load(spark, d, "v_users").withColumn("version", F.expr("CAST(id % 3 + 1 AS INT)"))
+    return mutations.update_unique(users, user_requests(users), ["email", "activated"], ["email"])[1].select("id", "reason")
+
+
+def user_requests(users):
+    email = F.expr("CASE WHEN id % 3 = 0 THEN 'france@example.com' WHEN id % 3 = 1 THEN 'new' || CAST(id div 4 AS STRING) || '@example.com' END")
+    return users.select("id", F.expr("CAST(version + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS INT)").alias("expected"), email.alias("email"), F.lit(True).alias("activated"))
+
+
+@query
+def update_duplicate_titles(spark, d):
+    """Renames to the title of another collection of the same user are refused, as is the second of two equal ones."""
+    rows = load(spark, d, "v_collections").withColumn("version", F.expr("CAST(id % 3 + 1 AS INT)"))
+    requests = rows.select("id", F.col("version").alias("expected"), F.expr("CASE WHEN id % 2 = 0 THEN 'shared name' ELSE title END").alias("title"))
+    return mutations.update_unique(rows, requests, ["title"], ["user_id", "title"])[1].select("id", "reason")
+
+
+@query
+def cascade_delete_user(spark, d):
+    users, collections, sources, chunks = (load(spark, d, v) for v in ("v_users", "v_collections", "v_sources", "v_chunks"))
+    tokens = load(spark, d, "customer").select(F.sha2("c_name", 256).alias("hash"), F.col("c_nationkey").alias("user_id"))
+    left = mutations.delete_user(users.where("id = 7 OR id = 9").select("id"), users, tokens, collections, sources, chunks)
+    counted = [f.select(F.lit(name).alias("relation")).groupBy("relation").agg(F.count(F.lit(1)).alias("n")) for name, f in zip(("users", "tokens", "collections", "sources", "chunks"), left)]
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query
+def chunk_sink(spark, d):
+    """Chunks written by source, then each seventh source written again with one chunk: all other sources keep theirs."""
+    path = f"{shared_root(spark)}/siltwork-chunks-{os.urandom(8).hex()}"
+    chunks = load(spark, d, "v_chunks").select("source_id", "chunk_index", "token_count")
+    fetch.write_chunks(chunks, path)
+    fetch.write_chunks(chunks.where("source_id % 7 = 0").select("source_id", F.lit(0).alias("chunk_index"), F.lit(1).alias("token_count")).distinct(), path)
+    return spark.read.parquet(path).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"))
+
+
+@query
+def metadata_read(spark, d):
+    """Chunk metadata as JSON and read back; what isn't JSON reads as nothing."""
+    rows = load(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("lang").alias("section_title"), F.col("source").alias("document_title"), "n_chars")).alias("j"))
+    broken = F.when(F.col("doc_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("j"))
+    read = F.from_json(broken, "section_title string, document_title string, n_chars long")
+    return rows.select("doc_id", F.coalesce(read["section_title"], F.lit("")).alias("section_title"), F.coalesce(read["document_title"], F.lit("")).alias("document_title"), read["n_chars"].alias("n_chars"))
+
+
+@query
+def cite_rate(spark, d):
+    pages = load(spark, d, "pages")
+    answers = pages.select(F.col("page_id").alias("query_id"), F.expr("CASE WHEN page_id % 3 > 0 THEN 'As ' || url || ' says.' ELSE 'I know.' END").alias("answer"))
+    return search.cite_rate(answers, pages.select(F.col("page_id").alias("query_id"), "url")).select("n_answers", F.round("cite_rate", 9).alias("cite_rate"))
+
+
+@query
+def embedding_batch_statistics(spark, d):
+    """Calls of a model that refuses batches of over eight texts for now: batches halve until they pass."""
+    chunks = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+    def model():
+        from siltwork.functions.embedding import EmbedError
+
+        refused = []
+
+        def embed(texts, task):
+            if len(refused) < 1 and len(texts) > 8:
+                refused.append(len(texts))
+                raise EmbedError(400 if len(texts) < 2 else 503)
+            return [[1.0]] * len(texts)
+
+        return embed
+
+    return documents.batch_statistics(chunks, model, 1).select("n_chunks")
+
+
+@query
+def step_fold(spark, d):
+    """Steps and statuses of sources from a row of changes, with late and impossible ones among them."""
+    rows = load(spark, d, "events").select(
+        F.col("user_id").alias("source_id"), F.col("event_id").alias("seq"), F.expr("CAST(1 + pmod(event_id, 6) AS INT)").alias("expected"),
+        F.expr("CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'ingesting' END").alias("status"),
+        F.expr("CASE event_type WHEN 'signup' THEN 'fetch' WHEN 'view' THEN 'clean' WHEN 'click' THEN 'fetch' END").alias("step"),
+    )
+    return queues.fold_steps(rows)
 
 
 @query
@@ -427,7 +613,7 @@ def validate_emails(spark, d):
     return with_errors(rows.withColumn("e", email), "id", validation.user(F.col("fullname"), F.col("e"), F.col("fullname")))
 
 
-URLS = ["https://www.youtube.com/watch?v=dQw4w9WgXcQ", "https://youtu.be/dQw4w9WgXcQ", "http://example.com/a.PDF", "http://example.com/a.pdf?x=1", "https://example.com/pdf", "  ", "", "example.com", "ftp://example.com/a.pdf", "https://example.com/a b", "HTTPS://EXAMPLE.COM/X", "http://"]
+URLS = ["https://www.youtube.com/watch?v=dQw4w9WgXcQ", "https://youtu.be/dQw4w9WgXcQ", "http://example.com/a.PDF", "http://example.com/a.pdf?x=1", "https://example.com/pdf", "  ", "", "example.com", "ftp://example.com/a.pdf", "https://example.com/a b", "HTTPS://EXAMPLE.COM/X", "http://", "https://m.youtube.com/watch?v=abcdefghijk", "HTTPS://YOUTU.BE/abcdefghijk", "youtu.be/a", "https://www.youtube.com/shorts/abcdefghijk", "youtube.com/embed/x", " https://youtu.be/abc", "example.com/a.pdf", "/a.PDF#page=2", "http://x.y/a.%70df", "http://x.y/a%zz.pdf", "mailto:a.pdf", "a:b.pdf", "x/a:b.pdf"]
 
 
 @query
@@ -488,41 +674,60 @@ def backoff_schedule(spark, d):
 
 @query
 def plain_text_blocks(spark, d):
-    return documents.plain_text_blocks(load(spark, d, "documents"))
+    literal = spark.createDataFrame([(-1 - k, s) for k, s in enumerate(PARAGRAPHS)], "doc_id long, text string")
+    return documents.plain_text_blocks(literal.unionByName(load(spark, d, "documents").select("doc_id", "text")))
+
+
+PARAGRAPHS = ["The first paragraph goes on\nover two lines.\n\nThe second one is long enough, too.", "The first paragraph has one line only.\nThe second one is long enough, too.\n\n", "\n\n short \n\n", None]
 
 
 LINES = ["- first", "* second", "+ third", "10. install dependencies", "3.x", "-x", "| a | b |", "| grep main", "| ---- | ---- |", "|---|", "a --- b", "| --- | :---: |", "see [the docs](http://x.y/z) now", "![logo](l.png) text  with\tspaces", "1. ", "|a|b|"]
 
 
-def lines(spark):
-    return spark.createDataFrame([(k, s) for k, s in enumerate(LINES)], "id int, line string")
+def lines(spark, d):
+    """The literal lines and every line of every document."""
+    literal = spark.createDataFrame([(-1, k, s) for k, s in enumerate(LINES)], "doc_id long, pos int, line string")
+    return literal.unionByName(load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")))
 
 
 @query
 def table_lines(spark, d):
-    return lines(spark).select("id", expr.is_table_line(F.col("line")).alias("is_table"))
+    return lines(spark, d).select("doc_id", "pos", expr.is_table_line(F.col("line")).alias("is_table"))
 
 
 @query
 def list_item_lines(spark, d):
-    return lines(spark).select("id", expr.list_item(F.col("line")).alias("item"))
+    return lines(spark, d).select("doc_id", "pos", expr.list_item(F.col("line")).alias("item"))
 
 
 @query
 def normalize_markdown(spark, d):
-    return lines(spark).select("id", expr.plain_markdown(F.col("line")).alias("text"))
+    return lines(spark, d).select("doc_id", "pos", expr.plain_markdown(F.col("line")).alias("text"))
+
+
+LISTS = ["Install Go; Configure GOPATH; Run go test", "- first\n- second\n3. third", " ; ", "* - + 2. x"]
 
 
 @query
 def list_split(spark, d):
-    rows = spark.createDataFrame([(0, "Install Go; Configure GOPATH; Run go test"), (1, "- first\n- second\n3. third"), (2, " ; "), (3, "* - + 2. x")], "id int, text string")
-    return rows.select("id", F.posexplode(expr.list_items(F.col("text"))).alias("pos", "item"))
+    """Items of the literal lists and of every document taken as a list."""
+    literal = spark.createDataFrame([(-1 - k, s) for k, s in enumerate(LISTS)], "doc_id long, text string")
+    rows = literal.unionByName(load(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.posexplode(expr.list_items(F.col("text"))).alias("pos", "item"))
 
 
 @query
 def context_prefix(spark, d):
-    rows = spark.createDataFrame([(0, "Guide", "A > B"), (1, "Guide", " "), (2, "", "A"), (3, None, None)], "id int, document string, section string")
-    return rows.select("id", expr.context_prefix(F.col("document"), F.col("section")).alias("prefix"))
+    literal = spark.createDataFrame([(-1, "Guide", "A > B"), (-2, "Guide", " "), (-3, "", "A"), (-4, None, None)], "doc_id long, document string, section string")
+    rows = literal.unionByName(load(spark, d, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 > 0 THEN source END AS document", "CASE WHEN doc_id % 2 = 0 THEN lang ELSE ' ' END AS section"))
+    return rows.select("doc_id", expr.context_prefix(F.col("document"), F.col("section")).alias("prefix"))
+
+
+@query
+def section_labels(spark, d):
+    rows = load(spark, d, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 3 > 0 THEN source || ' ' END AS t", "CASE WHEN doc_id % 2 = 0 THEN lang ELSE ' ' END AS p")
+    title, path = expr.section_label(F.col("t"), F.col("p"))
+    return rows.select("doc_id", title.alias("title"), path.alias("path"))
 
 
 @query
@@ -532,7 +737,7 @@ def sentences(spark, d):
 
 @query
 def token_counts_words(spark, d):
-    return documents.token_counts(load(spark, d, "documents"), lambda: words)
+    return documents.word_counts(load(spark, d, "documents"))
 
 
 @query
@@ -590,8 +795,7 @@ def prompt_build(spark, d):
 def _as_stream(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows as a file stream of two files a micro-batch, from the shared folder; rows of a key are in one file."""
     spark = rows.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/siltwork-stream-{os.urandom(8).hex()}"
+    path = f"{shared_root(spark)}/siltwork-stream-{os.urandom(8).hex()}"
     rows.repartition(4, *keys).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
@@ -629,6 +833,24 @@ def stream_arrivals(spark, d):
     return out.select("event_type", F.col("n"))
 
 
+@query
+def stream_reclaim(spark, d):
+    """Jobs that arrive on a stream are stored, and each micro-batch reclaims what got stuck; the last state's counts."""
+    rows = load(spark, d, "v_jobs")
+    state = queues.QueueState(f"{shared_root(spark)}/siltwork-queue-{os.urandom(8).hex()}")
+    return relational.counts_by(queues.drain(_as_stream(rows), state, jobs_at(), 0, ""), "status")
+
+
+@query
+def stream_queue(spark, d):
+    """Jobs that arrive on a stream are claimed in bursts of 2,000 and worked on until none is due; the last state."""
+    rows = load(spark, d, "v_jobs")
+    state = queues.QueueState(f"{shared_root(spark)}/siltwork-queue-{os.urandom(8).hex()}")
+    work = lambda claimed: claimed.select("id", F.expr("CASE WHEN id % 3 = 0 THEN 'no chunks' END").alias("error"))
+    last = queues.drain(_as_stream(rows), state, jobs_at(), max(1, rows.count() // 5), "embedding-worker-1", work)
+    return last.groupBy("status", "attempts").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def reclaim_round(spark, d):
     return relational.counts_by(queues.reclaim_all(load(spark, d, "v_jobs"), jobs_at()), "status")

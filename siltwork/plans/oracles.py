@@ -123,11 +123,53 @@ _REQ = "r AS (SELECT id AS rid, (id % 7 + 1 + CASE WHEN id % 11 = 0 THEN 1 ELSE
 SQL["advance_step"] = f"WITH {_REQ} SELECT {_source('CASE WHEN id % 4 = 0 THEN ' + chr(39) + 'completed' + chr(39) + ' ELSE status END', 'CASE WHEN id % 4 = 0 THEN current_step ELSE ' + chr(39) + 'embed' + chr(39) + ' END', version='version + 1')} FROM v_sources JOIN r ON rid = id AND expected = version WHERE status = 'ingesting'"
 SQL["update_conflicts"] = f"WITH {_REQ} SELECT rid AS id, expected FROM r WHERE NOT EXISTS (SELECT 1 FROM v_sources s WHERE s.id = rid AND s.version = expected AND s.status = 'ingesting')"
 _RETRY = "to_minutes(power(2, {n})::INT)"
-SQL["fail_source"] = "SELECT " + _source("CASE WHEN retry_count + 1 >= 5 THEN 'stale' ELSE 'failed' END", retry="retry_count + 1", due=f"{SOURCES_AT} + {_RETRY.format(n='retry_count')}", at=SOURCES_AT, version="version + CASE WHEN retry_count + 1 >= 5 THEN 2 ELSE 1 END") + " FROM v_sources WHERE status = 'ingesting'"
-SQL["stale_source"] = "SELECT " + _source("'stale'", retry="retry_count + 1", due="NULL::TIMESTAMP", at=SOURCES_AT, version="version + 1") + " FROM v_sources WHERE status = 'ingesting'"
+_FAIL = f"WITH {_REQ} SELECT {{columns}}, 'boom ' || id AS step_error FROM v_sources JOIN r ON rid = id AND expected = version WHERE status = 'ingesting'"
+SQL["fail_source"] = _FAIL.format(columns=_source("CASE WHEN retry_count + 1 >= 5 THEN 'stale' ELSE 'failed' END", "'chunk'", retry="retry_count + 1", due=f"{SOURCES_AT} + {_RETRY.format(n='retry_count')}", at=SOURCES_AT, version="version + CASE WHEN retry_count + 1 >= 5 THEN 2 ELSE 1 END"))
+SQL["stale_source"] = _FAIL.format(columns=_source("'stale'", "'chunk'", retry="retry_count + 1", due="NULL::TIMESTAMP", at=SOURCES_AT, version="version + 1"))
 SQL["reclaim_sources"] = "SELECT " + _source("CASE WHEN retry_count + 1 >= 5 THEN 'stale' ELSE 'failed' END", retry="retry_count + 1", due=f"CASE WHEN retry_count + 1 >= 5 THEN NULL ELSE {SOURCES_AT} END", at=SOURCES_AT, version="version + 1") + f", 'auto-recovered stuck ingesting at step=' || coalesce(current_step, 'unknown') AS step_error FROM v_sources WHERE {_STUCK}"
 SQL["complete_job"] = "SELECT " + _job("'completed'") + " FROM v_jobs WHERE status = 'processing' AND (locked_by IS NULL OR locked_by = 'embedding-worker-2')"
-SQL["fail_job"] = "SELECT " + _job("CASE WHEN attempts + 1 >= max_attempts THEN 'dead' ELSE 'failed' END", "attempts + 1", f"{JOBS_AT} + {_RETRY.format(n='attempts')}", version="version + CASE WHEN attempts + 1 >= max_attempts THEN 2 ELSE 1 END") + " FROM v_jobs WHERE status = 'processing'"
+SQL["fail_job"] = "SELECT " + _job("CASE WHEN attempts + 1 >= max_attempts THEN 'dead' ELSE 'failed' END", "attempts + 1", f"{JOBS_AT} + {_RETRY.format(n='attempts')}", version="version + CASE WHEN attempts + 1 >= max_attempts THEN 2 ELSE 1 END") + ", 'timeout' AS last_error FROM v_jobs WHERE status = 'processing' AND id % 11 <> 0 AND (locked_by IS NULL OR locked_by = 'embedding-worker-' || id % 2)"
+SQL["embedding_job"] = """WITH k AS (SELECT doc_id % 400 + 1 AS s, count(*) AS n, coalesce(bool_or(length(text) > 30000), FALSE) AS bad FROM documents GROUP BY 1),
+j AS (SELECT v.*, coalesce(n, 0) AS n_chunks, n IS NULL OR bad AS f, locked_by = 'embedding-worker-2' AS mine FROM v_jobs v LEFT JOIN k ON s = source_id WHERE status = 'processing' AND id % 3 > 0)
+SELECT id, source_id, n_chunks, CASE WHEN NOT mine THEN 'processing' WHEN NOT f THEN 'completed' WHEN attempts + 1 >= max_attempts THEN 'dead' ELSE 'failed' END AS status,
+(attempts + CASE WHEN mine AND f THEN 1 ELSE 0 END)::INT AS attempts, (version + CASE WHEN NOT mine THEN 0 WHEN f AND attempts + 1 >= max_attempts THEN 2 ELSE 1 END)::INT AS version,
+CASE WHEN mine AND f THEN CASE WHEN n_chunks = 0 THEN 'no chunks found for source ' || source_id ELSE 'embedding chunks for source ' || source_id || ': a text is too long' END END AS last_error FROM j"""
+SQL["embedding_job_chunks"] = """WITH c AS (SELECT doc_id % 400 + 1 AS source_id, coalesce(length(text), 0)::DOUBLE AS n FROM documents), j AS (SELECT DISTINCT source_id AS s FROM v_jobs WHERE status = 'processing')
+SELECT source_id, count(s) AS n_vectors, sum(CASE WHEN s IS NOT NULL THEN n END) AS total FROM c LEFT JOIN j ON s = source_id GROUP BY source_id"""
+SQL["set_embeddings"] = "SELECT doc_id AS id, len(embedding)::INT AS dimension, round(embedding[1]::DOUBLE, 6) AS first FROM documents LEFT JOIN v_vectors v ON v.id = doc_id"
+_NEW_COLLECTIONS = """WITH n AS (SELECT c_custkey + 1000000 AS id, c_custkey, c_nationkey AS user_id, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment || ' ' || c_name ELSE c_mktsegment END AS title FROM customer),
+t AS (SELECT *, EXISTS (SELECT 1 FROM v_collections v WHERE v.user_id = n.user_id AND v.title = n.title) AS held, row_number() OVER (PARTITION BY user_id, title ORDER BY id) AS turn FROM n)"""
+_STAMPS = f"{JOBS_AT} AS created_at, {JOBS_AT} AS updated_at"
+SQL["insert_collections"] = _NEW_COLLECTIONS + f" SELECT id, user_id, title, (CASE WHEN c_custkey % 2 = 0 THEN 7 ELSE 20 END)::INT AS max_sources, '' AS description, 1 AS version, {_STAMPS} FROM t WHERE turn = 1 AND NOT held"
+SQL["insert_collections_refused"] = _NEW_COLLECTIONS + " SELECT id, CASE WHEN held THEN 'present' ELSE 'batch' END AS reason FROM t WHERE turn > 1 OR held"
+SQL["insert_sources"] = f"""WITH n AS (SELECT page_id AS id, page_id % 9 AS collection_id, CASE WHEN page_id % 5 = 0 THEN 'http://same.example/' ELSE url END AS url FROM pages),
+t AS (SELECT *, row_number() OVER (PARTITION BY collection_id, url ORDER BY id) AS turn FROM n)
+SELECT id, collection_id, url, '' AS title, 'pending' AS status, 0 AS retry_count, '{{}}' AS metadata, 1 AS version, {_STAMPS} FROM t WHERE turn = 1 AND (collection_id, url) NOT IN (SELECT (collection_id, url) FROM v_sources)"""
+SQL["insert_users"] = f"""WITH n AS (SELECT s_suppkey + 100 AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'FRANCE@example.com' ELSE 'S' || s_suppkey // 2 || '@x.example' END AS email FROM supplier),
+t AS (SELECT *, row_number() OVER (PARTITION BY lower(email) ORDER BY id) AS turn FROM n)
+SELECT id, email, '' AS fullname, FALSE AS activated, 1 AS version, {_STAMPS} FROM t WHERE turn = 1 AND lower(email) NOT IN (SELECT lower(email) FROM v_users)"""
+_USERS = """WITH u AS (SELECT *, (id % 3 + 1)::INT AS version FROM v_users),
+r AS (SELECT id, coalesce(CASE id % 3 WHEN 0 THEN 'france@example.com' WHEN 1 THEN 'new' || id // 4 || '@example.com' END, email) AS email, fullname, version FROM u WHERE id % 5 <> 0),
+t AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.email = r.email AND o.id <> r.id)), f AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS turn FROM t)"""
+SQL["update_users"] = _USERS + " SELECT id, email, fullname, TRUE AS activated, (version + 1)::INT AS version FROM f WHERE turn = 1"
+SQL["update_users_refused"] = _USERS + " SELECT id, CASE WHEN id % 5 = 0 THEN 'conflict' ELSE 'duplicate' END AS reason FROM u WHERE id NOT IN (SELECT id FROM f WHERE turn = 1)"
+SQL["update_duplicate_titles"] = "WITH t AS (SELECT id, row_number() OVER (PARTITION BY user_id ORDER BY id) AS turn FROM v_collections WHERE id % 2 = 0) SELECT id, 'duplicate' AS reason FROM t WHERE turn > 1"
+SQL["cascade_delete_user"] = """WITH s AS (SELECT s.id FROM v_sources s JOIN v_collections c ON c.id = s.collection_id WHERE c.user_id NOT IN (7, 9))
+SELECT 'users' AS relation, count(*) AS n FROM v_users WHERE id NOT IN (7, 9) UNION ALL SELECT 'tokens', count(*) FROM customer WHERE c_nationkey NOT IN (7, 9) UNION ALL SELECT 'collections', count(*) FROM v_collections WHERE user_id NOT IN (7, 9)
+UNION ALL SELECT 'sources', count(*) FROM s UNION ALL SELECT 'chunks', count(*) FROM v_chunks WHERE source_id IN (SELECT id FROM s)"""
+SQL["chunk_sink"] = "SELECT source_id, CASE WHEN source_id % 7 = 0 THEN 1 ELSE count(*) END::BIGINT AS n_chunks, CASE WHEN source_id % 7 = 0 THEN 1 ELSE sum(token_count) END::BIGINT AS tokens FROM v_chunks GROUP BY source_id"
+SQL["metadata_read"] = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE coalesce(lang, '') END AS section_title, CASE WHEN doc_id % 5 = 0 THEN '' ELSE coalesce(source, '') END AS document_title, CASE WHEN doc_id % 5 > 0 THEN n_chars END AS n_chars FROM documents"
+SQL["cite_rate"] = "SELECT count(*) AS n_answers, round(avg(CASE WHEN page_id % 3 > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS cite_rate FROM pages"
+SQL["embedding_batch_statistics"] = "SELECT count(*) AS n_chunks FROM documents"
+_PLACE = "coalesce(list_position(['fetch', 'clean', 'chunk', 'store', 'embed'], {x}.step), 0)"
+_MAY = f"""coalesce(x.version = a.version AND (a.status IN ('pending', 'failed') AND x.status = 'ingesting' AND coalesce(x.step, '') = 'fetch'
+OR a.status = 'ingesting' AND (x.status IN ('failed', 'stale') OR x.status = 'completed' AND a.step = 'embed' OR x.status = 'ingesting' AND {_PLACE.format(x='x')} BETWEEN {_PLACE.format(x='a')} AND {_PLACE.format(x='a')} + 1)), FALSE)"""
+SQL["step_fold"] = f"""WITH e AS (SELECT user_id AS source_id, event_id, {{'status': CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'ingesting' END,
+'step': CASE event_type WHEN 'signup' THEN 'fetch' WHEN 'view' THEN 'clean' WHEN 'click' THEN 'fetch' END, 'version': (1 + event_id % 6)::INT, 'refused': 0}} AS x FROM events),
+l AS (SELECT source_id, list(x ORDER BY event_id) AS l FROM e GROUP BY source_id),
+r AS (SELECT source_id, list_reduce(l, lambda a, x: {{'status': CASE WHEN {_MAY} THEN x.status ELSE a.status END, 'step': CASE WHEN {_MAY} THEN coalesce(x.step, a.step) ELSE a.step END,
+'version': (a.version + CASE WHEN {_MAY} THEN 1 ELSE 0 END)::INT, 'refused': (a.refused + CASE WHEN {_MAY} THEN 0 ELSE 1 END)::INT}}, {{'status': 'pending', 'step': NULL::VARCHAR, 'version': 1, 'refused': 0}}) AS s FROM l)
+SELECT source_id, s.status AS status, s.step AS current_step, s.version AS version, s.refused AS refused FROM r"""
 SQL["reclaim_jobs"] = "SELECT " + _job("CASE WHEN attempts + 1 >= max_attempts THEN 'dead' ELSE 'failed' END", "attempts + 1", f"CASE WHEN attempts + 1 >= max_attempts THEN {JOBS_AT} ELSE {JOBS_AT} + {_RETRY.format(n='attempts')} END") + f" FROM v_jobs WHERE {_STUCK_JOB}"
 _RANKED = """WITH g AS (SELECT source_id, chunk_index, l_partkey, l_suppkey, max(token_count) AS token_count FROM v_chunks GROUP BY ALL),
 t AS (SELECT *, row_number() OVER (PARTITION BY source_id, chunk_index ORDER BY l_partkey, l_suppkey) AS turn FROM g)"""
@@ -212,9 +254,19 @@ SQL["backoff_schedule"] = """SELECT a AS attempt, least(500 * power(2, least(a -
 (CASE WHEN a % 5 = 0 THEN 2 ELSE least(2 * a, 30) END)::BIGINT AS poll_s FROM (SELECT unnest(range(1, 25)) AS a)"""
 
 # --- text ---
-SQL["plain_text_blocks"] = r"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+_SPACE = r"[\s\x0b\x{85}\x{a0}]+"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+
+
+SQL["plain_text_blocks"] = f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES (-1, E'The first paragraph goes on\\nover two lines.\\n\\nThe second one is long enough, too.'),
+(-2, E'The first paragraph has one line only.\\nThe second one is long enough, too.\\n\\n'), (-3, E'\\n\\n short \\n\\n'), (-4, NULL)) v(doc_id, text)),
+t AS (SELECT doc_id, {_strip('text')} AS text FROM d),
+s AS (SELECT doc_id, string_split(text, CASE WHEN contains(text, chr(10) || chr(10)) THEN chr(10) || chr(10) ELSE chr(10) END) AS parts FROM t),
 p AS (SELECT doc_id, unnest(range(len(parts)))::INT AS pos, parts FROM s),
-c AS (SELECT doc_id, pos, trim(regexp_replace(parts[pos + 1], '[\s\x0b\x{85}\x{a0}]+', ' ', 'g')) AS text FROM p)
+c AS (SELECT doc_id, pos, trim(regexp_replace(parts[pos + 1], '{_SPACE}', ' ', 'g')) AS text FROM p)
 SELECT * FROM c WHERE strlen(text) >= 30"""
 _ABBR = "|".join(sorted((a.replace(".", "\\.") for a in ABBREVIATIONS), key=lambda a: (-len(a), a)))
 SQL["sentences"] = rf"""WITH a AS (SELECT doc_id, regexp_replace(text, '(?i)((?:^|\s)["''(\[]*(?:{_ABBR})[.!?,;:]*[.!?])(\s)', '\1' || chr(2) || '\2', 'g') AS t FROM documents),
@@ -223,15 +275,43 @@ c AS (SELECT doc_id, replace(regexp_replace(t, '([.!?])(\s)', '\1' || chr(1) ||
 d AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS l FROM c)
 SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS sentence FROM d"""
 SQL["token_counts_words"] = r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INT AS n_tokens FROM documents"
-SQL["list_split"] = "SELECT * FROM (VALUES (0, 0, 'Install Go'), (0, 1, 'Configure GOPATH'), (0, 2, 'Run go test'), (1, 0, 'first'), (1, 1, 'second'), (1, 2, 'third'), (2, 0, ';'), (3, 0, '- + 2. x')) t(id, pos, item)"
-SQL["table_lines"] = "SELECT id::INT AS id, id IN (6, 8, 11, 15) AS is_table FROM (SELECT unnest(range(16)) AS id)"
-SQL["list_item_lines"] = "SELECT id::INT AS id, CASE id WHEN 0 THEN 'first' WHEN 1 THEN 'second' WHEN 2 THEN 'third' WHEN 3 THEN 'install dependencies' WHEN 14 THEN '' END AS item FROM (SELECT unnest(range(16)) AS id)"
-SQL["normalize_markdown"] = "SELECT id::INT AS id, ['- first', '* second', '+ third', '10. install dependencies', '3.x', '-x', '| a | b |', '| grep main', '| ---- | ---- |', '|---|', 'a --- b', '| --- | :---: |', 'see the docs now', 'text with spaces', '1.', '|a|b|'][id + 1] AS text FROM (SELECT unnest(range(16)) AS id)"
-SQL["context_prefix"] = "SELECT * FROM (VALUES (0, E'Document: Guide\\nSection: A > B\\n\\n'), (1, E'Document: Guide\\n\\n'), (2, E'Section: A\\n\\n'), (3, '')) t(id, prefix)"
+def _lines(columns: str) -> str:
+    from siltwork.plans.catalogue import LINES
+
+    return f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), w AS (SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS line FROM s
+UNION ALL SELECT -1, * FROM (VALUES {_lit(enumerate(LINES))}) v(pos, line)) SELECT doc_id, pos, {columns} FROM w"""
+
+
+def _text_rules() -> dict[str, str]:
+    from siltwork.plans.catalogue import LISTS
+
+    item = r"'^(?:[-*+] |\d+\.\s+)(.*)$'"
+    separator = r"'^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$'"
+    links = r"regexp_replace(regexp_replace(line, '!\[[^\]]*\]\([^)]+\)', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
+    steps = "list_transform(string_split(replace(text, ';', chr(10)), chr(10)), lambda x: " + _strip("x") + ")"
+    for mark in ("- ", "* ", "+ "):
+        steps = f"list_transform({steps}, lambda x: CASE WHEN starts_with(x, '{mark}') THEN {_strip('substr(x, 3)')} ELSE x END)"
+    numbered = r"regexp_replace(x, '^\d+\. ', '')"
+    steps = f"list_filter(list_transform({steps}, lambda x: {_strip(numbered)}), lambda x: x <> '')"
+    labels = "SELECT doc_id, trim(coalesce(CASE WHEN doc_id % 3 > 0 THEN source || ' ' END, '')) AS t, trim(coalesce(CASE WHEN doc_id % 2 = 0 THEN lang ELSE ' ' END, '')) AS p FROM documents"
+    return {
+        "table_lines": _lines(f"regexp_matches(line, {separator}) OR (line LIKE '|%|' AND length(line) > 1 AND len(string_split(regexp_replace(line, '^\\||\\|$', '', 'g'), '|')) >= 2) AS is_table"),
+        "list_item_lines": _lines(f"CASE WHEN regexp_matches(line, {item}) THEN trim(regexp_extract(line, {item}, 1)) END AS item"),
+        "normalize_markdown": _lines(f"trim(regexp_replace({links}, '{_SPACE}', ' ', 'g')) AS text"),
+        "list_split": f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_lit((-1 - k, x) for k, x in enumerate(LISTS))}) v(doc_id, text)),
+l AS (SELECT doc_id, {steps} AS l, {_strip('text')} AS whole FROM d), m AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [whole] END AS l FROM l)
+SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS item FROM m""",
+        "context_prefix": """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS d, CASE WHEN doc_id % 2 = 0 THEN lang ELSE ' ' END AS s FROM documents
+UNION ALL SELECT * FROM (VALUES (-1, 'Guide', 'A > B'), (-2, 'Guide', ' '), (-3, '', 'A'), (-4, NULL, NULL)) v(doc_id, d, s)), t AS (SELECT doc_id, trim(coalesce(d, '')) AS d, trim(coalesce(s, '')) AS s FROM r)
+SELECT doc_id, CASE WHEN d <> '' THEN 'Document: ' || d || chr(10) ELSE '' END || CASE WHEN s <> '' THEN 'Section: ' || s || chr(10) ELSE '' END || CASE WHEN d = '' AND s = '' THEN '' ELSE chr(10) END AS prefix FROM t""",
+        "section_labels": f"WITH x AS ({labels}) SELECT doc_id, CASE WHEN t <> '' THEN t ELSE p END AS title, CASE WHEN p <> '' THEN p ELSE t END AS path FROM x",
+    }
+
+
 SQL["flatten_messages"] = "SELECT conv_id, string_agg(CASE WHEN trim(coalesce(role, '')) = '' THEN 'USER' ELSE upper(trim(role)) END || ':' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS prompt FROM conversations GROUP BY conv_id"
-SQL["prompt_build"] = """WITH p AS (SELECT conv_id, turn, '[' || (turn + 1) || '] Title: ' || CASE WHEN turn % 2 = 0 AND trim(role) <> '' THEN role WHEN turn % 3 = 0 THEN 'doc' ELSE '(untitled)' END || chr(10) || 'URL: https://example.com' || chr(10) ||
-'Section: (none)' || chr(10) || 'Chunk: ' || turn || chr(10) || 'Distance: ' || printf('%.4f', turn / 8.0::DOUBLE) || chr(10) || text AS p FROM conversations)
-SELECT conv_id, 'Question: What is this about?' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(p, chr(10) || chr(10) ORDER BY turn, p) AS prompt FROM p GROUP BY conv_id"""
+SQL["prompt_build"] = """WITH p AS (SELECT conv_id, turn, '[' || (turn + 1) || ']' || chr(10) || 'Title: ' || CASE WHEN turn % 2 = 0 AND role <> '' THEN role WHEN turn % 3 = 0 THEN 'doc' ELSE '(untitled)' END || chr(10) || 'URL: https://example.com' || chr(10) ||
+'Section: (none)' || chr(10) || 'ChunkIndex: ' || turn || chr(10) || 'Distance: ' || printf('%.4f', turn / 8.0::DOUBLE) || chr(10) || 'Content:' || chr(10) || text || chr(10) || chr(10) AS p FROM conversations)
+SELECT conv_id, 'Question:' || chr(10) || 'What is this about?' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(p, '' ORDER BY turn, p) AS prompt FROM p GROUP BY conv_id"""
 
 # --- streams ---
 SQL["stream_arrivals"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type, date_trunc('day', ts)"
@@ -246,11 +326,17 @@ SELECT key, s.allowed AS allowed, n - s.allowed AS refused FROM r"""
 SQL["reclaim_round"] = f"WITH s AS (SELECT CASE WHEN {_STUCK_JOB} THEN CASE WHEN attempts + 1 >= max_attempts THEN 'dead' ELSE 'failed' END ELSE status END AS status FROM v_jobs) SELECT status, count(*) AS n FROM s GROUP BY status"
 
 
+SQL["stream_reclaim"] = SQL["reclaim_round"]
+SQL["stream_queue"] = f"""WITH s AS (SELECT *, coalesce({_STUCK_JOB}, FALSE) AS stuck, {_JOB_DUE} AS due FROM v_jobs), e AS (SELECT CASE WHEN stuck OR due AND id % 3 = 0 THEN CASE WHEN attempts + 1 >= max_attempts THEN 'dead' ELSE 'failed' END WHEN due THEN 'completed' ELSE status END AS status,
+(attempts + CASE WHEN stuck OR due AND id % 3 = 0 THEN 1 ELSE 0 END)::INT AS attempts FROM s) SELECT status, attempts, count(*) AS n FROM e GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {name: with_views(sql) for name, sql in SQL.items()}
+    out = {name: with_views(sql) for name, sql in (SQL | _text_rules()).items()}
     out["valid_url"] = _with_urls("SELECT url, " + _URL_OK.format(u="url") + " AS valid FROM {rows}")
+    bare = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '')"
     out["detect_source_type"] = _with_urls(
-        "SELECT url, CASE WHEN trim(url) = '' THEN '' WHEN regexp_matches(url, '(?i)youtube\\.com/watch|youtu\\.be/') THEN 'youtube' "
-        "WHEN regexp_matches(url, '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*/[^?#]*\\.pdf([?#]|$)') THEN 'pdf' ELSE 'web' END AS source_type FROM {rows}"
+        r"SELECT url, CASE WHEN trim(url) = '' THEN '' WHEN regexp_matches(url, '^(https?://)?(www\.)?(youtube\.com/(watch\?v=|embed/)|youtu\.be/)[\w-]+') THEN 'youtube' "
+        f"WHEN regexp_full_match({bare}, '/.*|[^:/]*(/.*)?') AND NOT regexp_matches({bare}, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') AND replace(lower({bare}), '%70', 'p') LIKE '%.pdf' THEN 'pdf' ELSE 'web' END AS source_type FROM {{rows}}"
     )
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 
 import duckdb
@@ -12,7 +13,7 @@ from siltwork.functions import expr
 from siltwork.operators import mutations, relational, search
 from siltwork.plans.catalogue import QUERIES
 from siltwork.plans.oracles import oracle_sql
-from siltwork.sources.fetch import cleaned_methods
+from siltwork.sources.fetch import cleaned_methods, fetch_pages
 from siltwork.streaming import queues
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -82,7 +83,11 @@ def test_claims_order_and_lock(spark):
 def test_fifth_failure_is_final(spark):
     rows = spark.sql("SELECT 1L AS id, 'ingesting' AS status, n AS retry_count, CAST(NULL AS TIMESTAMP_NTZ) AS next_retry_at, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS updated_at, 6 AS version FROM VALUES (3), (4) t(n)")
     at = F.expr("TIMESTAMP_NTZ '2024-01-02 00:00:00'")
-    a, b = mutations.fail_sources(rows, at).orderBy("retry_count").collect()
+    rows = rows.withColumns({"id": F.col("retry_count").cast("long"), "current_step": F.lit("fetch")})
+    requests = rows.select("id", F.lit(6).alias("expected"), F.lit("chunk").alias("step"), F.lit("why").alias("error"))
+    a, b = mutations.fail_sources(rows, requests, at).orderBy("retry_count").collect()
+    assert mutations.fail_sources(rows, requests.withColumn("expected", F.lit(5)), at).count() == 0
+    assert (a.current_step, a.step_error) == ("chunk", "why")
     assert (a.status, a.retry_count, a.version, a.next_retry_at.minute) == ("failed", 4, 7, 8)
     assert (b.status, b.retry_count, b.version, b.next_retry_at.minute) == ("stale", 5, 8, 16)
 
@@ -119,11 +124,55 @@ def test_ask_with_hits(spark):
         return "answer"
 
     assert search.ask(hits, "why?", llm)["answer"] == "answer"
-    assert "[1] Title: (untitled)" in seen["text"] and "Section: (none)" in seen["text"] and "Distance: 0.2500" in seen["text"]
+    assert "[1]\nTitle:  \n" in seen["text"] and "ChunkIndex: 3\n" in seen["text"] and "Content:\ntext" in seen["text"] and "Section: (none)" in seen["text"] and "Distance: 0.2500" in seen["text"]
     with pytest.raises(ValueError):
         search.ask(hits, "why?", lambda *a, **k: " ")
 
 
+JOBS = "id long, source_id long, source_version int, status string, attempts int, max_attempts int, run_after timestamp_ntz, locked_at timestamp_ntz, locked_by string, version int"
+
+
+def test_bursts_over_the_claim_size(spark, tmp_path):
+    """What is over n waits in the stored state, a batch that runs again changes nothing, older jobs are claimed, too."""
+    at = datetime.datetime(2024, 1, 1)
+    job = lambda k: (k, k, 1, "pending", 0, 5, at + datetime.timedelta(seconds=k), None, None, 1)
+    state = queues.QueueState(str(tmp_path / "queue"))
+    sink = queues.work_batch(state, F.lit(datetime.datetime(2024, 2, 1)).cast("timestamp_ntz"), 3, "w1")
+    sink(spark.createDataFrame([job(k) for k in range(8)], JOBS), 0)
+    claimed = lambda: sorted(r.id for r in state.read(spark).where("status = 'processing' and locked_by = 'w1'").collect())
+    assert claimed() == [0, 1, 2] and state.read(spark).count() == 8
+    sink(spark.createDataFrame([job(k) for k in (8, 9, 3)], JOBS), 1)
+    sink(spark.createDataFrame([job(k) for k in (8, 9, 3)], JOBS), 1)
+    assert claimed() == [0, 1, 2, 3, 4, 5] and state.read(spark).count() == 10 and state.batches(spark) == [0, 1]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "queue/claims/batch=1")).collect()) == [3, 4, 5]
+    for n in range(2, 6):
+        sink(spark.createDataFrame([], JOBS), n)
+    assert claimed() == list(range(10)) and state.batches(spark) == [3, 4, 5]
+
+
+def test_fetching_rows(spark):
+    page = "<html><head><title>T</title></head><body><article><p>" + "some long enough text of an article. " * 20 + "</p></article></body></html>"
+
+    def client():
+        from siltwork.sources.fetch import Response
+
+        return lambda url, seconds: Response(200, "text/html", page.encode(), url) if "good" in url else Response(404, "text/html", b"x", url)
+
+    rows = {r.id: r for r in fetch_pages(spark.createDataFrame([(1, "http://good/"), (2, "http://bad/"), (3, None)], "id long, url string"), client).collect()}
+    assert rows[1].error == 0 and rows[1].title == "T" and "article" in rows[1].text
+    assert (rows[2].error, rows[3].error) == (404, 400) and rows[2].html is None
+
+
+def test_nearest_in_blocks(spark):
+    vectors = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(50)] + [(90, [0.0, 0.0]), (91, None), (92, [1.0])], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)], "query_id long, query array<float>")
+    key = lambda rows: sorted((r.query_id, r.rank, r.chunk_id, str(r.distance)) for r in rows.collect())
+    whole = key(search.search_many(vectors, queries, 4))
+    assert whole == key(search.search_many(vectors.repartition(6), queries, 4, block=2)) and len(whole) == 20
+    assert [c for q, _, c, _ in whole if q == 2] == [2, 9, 16, 23]
+    assert search.search_many(vectors, queries.limit(0), 4).count() == 0 and search.search_many(vectors.limit(0), queries, 4).count() == 0
+
+
 def test_log_scan(spark, tmp_path):
     (tmp_path / "log").write_text('x msg="pipeline: cleaned" method=markdown\nx msg="pipeline: cleaned" method=legacy\nother method=markdown\nx msg="pipeline: cleaned" method=markdown\n')
     assert {(r.method, r.n, r.percent) for r in cleaned_methods(spark, str(tmp_path / "log")).collect()} == {("markdown", 2, 66.67), ("legacy", 1, 33.33)}
