@@ -45,13 +45,16 @@ def normalise(text: str) -> str:
 
 
 def list_item(line: str) -> str | None:
+    """A bulleted line's text, or what follows the first point and space of a numbered one; null for other lines."""
     if line[:2] in ("- ", "* ", "+ "):
-        return line[2:].strip()
-    return line.split(". ", 1)[-1].strip() if NUMBERED.match(line) else None
+        return normalise(line[2:])
+    head, mark, rest = line.partition(". ")
+    return normalise(rest) if mark and rest and NUMBERED.match(line) else None
 
 
 def cells(line: str) -> list[str]:
-    return [c.strip() for c in line.strip().removeprefix("|").removesuffix("|").split("|")]
+    inner = line.strip().strip("|")
+    return [c.strip() for c in inner.split("|")] if inner else []
 
 
 def is_table_line(line: str) -> bool:
@@ -106,18 +109,21 @@ class Machine:
         if len(lines) < 2:
             self.emit("paragraph", normalise(" ".join(lines)))
             return
-        header = [normalise(c) for c in cells(lines[0])] if SEPARATOR.match(lines[1]) else []
+        headed = bool(SEPARATOR.match(lines[1]))
+        header = [collapse(c) for c in cells(lines[0])] if headed else []
         rows = []
-        for line in lines[2:] if header else lines:
+        for line in lines[2:] if headed else lines:
             if SEPARATOR.match(line):
                 continue
-            named = [(header[k] if k < len(header) else "", normalise(c)) for k, c in enumerate(cells(line))]
+            named = [(header[k] if k < len(header) else "", collapse(c)) for k, c in enumerate(cells(line))]
             shown = ", ".join(f"{h}: {c}" if h else c for h, c in named if c)
             if shown:
                 rows.append(shown)
         self.emit("table", ". ".join(rows))
 
     def enter(self, level: int, title: str) -> None:
+        if not title:  # an image alone names no section
+            return
         del self.stack[level - 1 :]
         self.stack += [""] * (level - 1 - len(self.stack)) + [title]
         self.level = level
@@ -126,7 +132,8 @@ class Machine:
 def from_markdown(text: str) -> list[Block]:
     m, fenced = Machine(), False
     for raw in text.split("\n"):
-        if len(raw) > MAX_LINE:
+        raw = raw.removesuffix("\r")
+        if 4 * len(raw) > MAX_LINE and len(raw.encode()) > MAX_LINE:
             raise ValueError("a line is too long")
         line = raw.strip()
         if line.startswith("```"):

@@ -170,6 +170,7 @@ class Chunker:
     def chunk(self, blocks: list[Block], document: str = "", url: str = "") -> list[Chunk]:
         out: list[Chunk] = []
         held: list[Unit] = []
+        total = 0  # tokens of held
         where: tuple[str, str] | None = None
         budget = self.limit
 
@@ -193,23 +194,25 @@ class Chunker:
             label = section_label(block.section_title, block.section_path)
             if where is None or label[1] != where[1]:
                 flush()
-                held = []
+                held, total = [], 0
                 budget = max(1, self.limit - self.count(context_prefix(document, label[1])))
             where = label
             for text, kind in self.units(block):
                 for u in self.fit(text, kind, block.heading_level, budget):
                     if not u.tokens:
                         continue
-                    if held and sum(x.tokens for x in held) + u.tokens > budget:
+                    if held and total + u.tokens > budget:
                         flush()
                         held = overlap(held, u.type, budget, self.overlap)
+                        total = sum(x.tokens for x in held)
                     if u.tokens > budget:
                         flush()
-                        held = []
-                    held = [*held, u]
-                    if sum(x.tokens for x in held) > budget:
+                        held, total = [], 0
+                    held.append(u)
+                    total += u.tokens
+                    if total > budget:
                         flush()
-                        held = []
+                        held, total = [], 0
         flush()
         for c in out:
             c.metadata |= {"chunk_index": c.index, "chunk_token_count": c.token_count, "chunk_content_length": len(c.content.encode()), "total_chunks": len(out)}

@@ -71,15 +71,17 @@ def plain_markdown(text: Column) -> Column:
 
 
 def list_item(line: Column) -> Column:
-    """Text of a bulleted or numbered line, null for other lines."""
-    marked = F.regexp_extract(line, r"^(?:[-*+] |\d+\.\s+)(.*)$", 1)
-    return F.when(line.rlike(r"^(?:[-*+] |\d+\.\s+)"), F.trim(marked))
+    """Text of a bulleted line, or what follows the first point and space of a numbered one; null for other lines."""
+    at = F.instr(line, ". ")
+    numbered = line.rlike(r"^\d+\.\s+") & (at > 0) & (at + 1 < F.length(line))
+    rest = F.when(line.rlike(r"^[-*+] "), F.substring(line, 3, 1 << 30)).when(numbered, F.substring(line, at + 2, F.length(line)))
+    return plain_markdown(rest)
 
 
 def is_table_line(line: Column) -> Column:
     """A separator row of two columns or more, or a row between pipes with two cells or more."""
     separator = line.rlike(r"^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$")
-    cells = F.size(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"))
+    cells = F.size(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"))
     return separator | (line.rlike(r"^\|.*\|$") & (cells >= 2))
 
 

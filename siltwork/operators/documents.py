@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -101,12 +102,24 @@ def plain_text_blocks(docs: DataFrame) -> DataFrame:
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, sentence) of each text."""
+    """(doc_id, pos, sentence) of each text, in SQL functions only.
+
+    One pattern finds the places between sentences: after a mark and before white space, but not after a number's
+    point or an abbreviation (with at most 30 marks around it).
+    """
+    words = "|".join(re.escape(a) for a in sorted(C.ABBREVIATIONS))
+    between = rf"""(?iU)(?<=[.!?])(?=\s)(?<!\p{{Nd}}\.)(?<!(?:^|\s)["'(\[]{{0,30}}(?:{words})[.!?,;:]{{0,30}}[.!?])"""
+    parts = F.filter(F.transform(F.split("text", between), strip), lambda s: s != "")
+    return docs.select("doc_id", F.posexplode(parts).alias("pos", "sentence"))
+
+
+def markdown_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of Markdown texts (doc_id, text)."""
 
     def make():
-        return lambda key, text: [(key, k, s) for k, s in enumerate(C.sentences(text or ""))]
+        return lambda key, text: [(key, k, "markdown", *b) for k, b in enumerate(B.from_markdown(text or ""))]
 
-    return map_rows(docs.select("doc_id", "text"), "id long, pos int, sentence string", make).withColumnRenamed("id", "doc_id")
+    return map_rows(docs.select("doc_id", "text"), BLOCK_SCHEMA, make).withColumnRenamed("id", "doc_id")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

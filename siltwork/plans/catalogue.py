@@ -681,7 +681,7 @@ def plain_text_blocks(spark, d):
 PARAGRAPHS = ["The first paragraph goes on\nover two lines.\n\nThe second one is long enough, too.", "The first paragraph has one line only.\nThe second one is long enough, too.\n\n", "\n\n short \n\n", None]
 
 
-LINES = ["- first", "* second", "+ third", "10. install dependencies", "3.x", "-x", "| a | b |", "| grep main", "| ---- | ---- |", "|---|", "a --- b", "| --- | :---: |", "see [the docs](http://x.y/z) now", "![logo](l.png) text  with\tspaces", "1. ", "|a|b|"]
+LINES = ["- first", "* second", "+ third", "10. install dependencies", "3.x", "-x", "| a | b |", "| grep main", "| ---- | ---- |", "|---|", "a --- b", "| --- | :---: |", "see [the docs](http://x.y/z) now", "![logo](l.png) text  with\tspaces", "1. ", "|a|b|", "||a||", "1.\tone", "2.\ttwo. three", "- see [it](u) ![i](j) now"]
 
 
 def lines(spark, d):
@@ -745,6 +745,37 @@ def token_counts(spark, d):
     return documents.token_counts(load(spark, d, "documents"))
 
 
+MARKDOWN = [
+    "# Guide\n\nA first paragraph that\ngoes over two lines of text.\n## ![logo](x.png)\nStill in the guide, as an image names no section at all.\n### Deep [link](http://u)\n- Install all of the [tools](http://t)\n* Configure them\n10. Run",
+    "```go\nfmt.Println(\"hello\")  \n```\n```\nx\n```",
+    "| name | value |\n| ---- | ---- |\n| alpha | [one](http://u) |\n| beta beta | two and more |\n\nThe text after the table is a paragraph.\n\nThe text after the table is a paragraph.",
+    "| a row | without any header |\n| another row | of the same table |\n|---|---|\n",
+    "| one line alone is a paragraph | as it has no second |\n",
+    "Too short.\n\n- short\n\n---\nA paragraph after a rule, long enough to be kept.\n1.\ttabbed items are no items, so they are paragraphs",
+    "## Two\nText of the second level, without a first one above it.\n# One\nText of the first level, which comes after the second.\n### Three\nText of the third level, with a gap above it in the path.",
+    "| a | b |\n```\ncode comes before the table above it\n```\n| --- | --- |\n| the first cell | the second cell |",
+]
+HTML = [
+    "<h1>Introduction</h1><p>This is a sufficiently long paragraph to verify the first way of extraction.</p>",
+    "<h1>Guide</h1><h2>Install</h2><ul><li>Install all of the dependencies</li><li>Configure the environment</li></ul><h3>Run</h3><pre><code class=\"language-go\">fmt.Println(\"hello, this is code\")</code></pre>",
+    "<script>var x = 1;</script><nav>menu</nav><p>Text after scripts &amp; menus, which is long enough to stay here.</p>",
+    "<table><tr><th>name</th><th>value</th></tr><tr><td>alpha beta</td><td>gamma delta epsilon</td></tr></table>",
+    "<p>short</p>",
+]
+
+
+@query
+def markdown_blocks(spark, d):
+    rows = spark.createDataFrame(list(enumerate(MARKDOWN)), "doc_id long, text string")
+    return documents.markdown_blocks(rows).drop("clean_method")
+
+
+@query
+def html_literal_blocks(spark, d):
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(HTML)], "page_id long, html string")
+    return documents.clean_pages(rows)
+
+
 @query
 def html_blocks(spark, d):
     return documents.clean_pages(load(spark, d, "pages"))

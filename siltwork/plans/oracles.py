@@ -274,6 +274,52 @@ b AS (SELECT doc_id, regexp_replace(t, '([0-9]\.)(\s)', '\1' || chr(2) || '\2',
 c AS (SELECT doc_id, replace(regexp_replace(t, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(2), '') AS t FROM b),
 d AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS l FROM c)
 SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS sentence FROM d"""
+#: Blocks of plain text, their sentences, units of at most 400 words, and a fold that packs them with one unit of overlap.
+_BLOCKS = SQL["plain_text_blocks"].replace("(-1, E'", "(-1, E'").split("WITH d AS", 1)[1].rpartition("\n")[0]
+_CHUNKS = rf"""WITH d AS{_BLOCKS},
+b AS (SELECT doc_id, pos, text FROM c WHERE strlen(text) >= 30 AND doc_id >= 0),
+a AS (SELECT doc_id, pos, regexp_replace(text, '(?i)((?:^|\s)["''(\[]*(?:{_ABBR})[.!?,;:]*[.!?])(\s)', '\1' || chr(2) || '\2', 'g') AS t FROM b),
+n AS (SELECT doc_id, pos, regexp_replace(t, '([0-9]\.)(\s)', '\1' || chr(2) || '\2', 'g') AS t FROM a),
+m AS (SELECT doc_id, pos, string_split(replace(regexp_replace(t, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(2), ''), chr(1)) AS l FROM n),
+x AS (SELECT doc_id, pos, unnest(range(len(l))) AS k, string_split(trim(unnest(l)), ' ') AS w FROM m),
+y AS (SELECT doc_id, pos, k, w, unnest(range((len(w) + 399) // 400)) AS part FROM x WHERE w <> ['']),
+u AS (SELECT doc_id, w[part * 400 + 1 : part * 400 + 400] AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k, part) - 1 AS i FROM y),
+v AS (SELECT doc_id, i, array_to_string(w, ' ') AS text, len(w) AS t, coalesce(lag(len(w)) OVER (PARTITION BY doc_id ORDER BY i), 0) AS p FROM u),
+l AS (SELECT doc_id, list(text ORDER BY i) AS texts, count(*) AS units, list({{'done': []::STRUCT(a BIGINT, b BIGINT)[], 'a': 0::BIGINT, 's': 0::BIGINT, 'i': i::BIGINT, 't': t::BIGINT, 'p': p::BIGINT}} ORDER BY i) AS steps FROM v GROUP BY doc_id),
+f AS (SELECT doc_id, texts, units, list_reduce(steps, lambda o, x: {{
+ 'done': o.done || CASE WHEN {{full}} THEN [{{{{'a': o.a, 'b': x.i - 1}}}}] ELSE [] END || CASE WHEN {{sum}} > 400 THEN [{{{{'a': {{first}}, 'b': x.i}}}}] ELSE [] END,
+ 'a': CASE WHEN {{sum}} > 400 THEN x.i + 1 ELSE {{first}} END, 's': CASE WHEN {{sum}} > 400 THEN 0 ELSE {{sum}} END, 'i': x.i, 't': x.t, 'p': x.p}},
+ {{'done': []::STRUCT(a BIGINT, b BIGINT)[], 'a': 0::BIGINT, 's': 0::BIGINT, 'i': 0::BIGINT, 't': 0::BIGINT, 'p': 0::BIGINT}}) AS s FROM l),
+g AS (SELECT doc_id, texts, s.done || CASE WHEN s.a < units THEN [{{'a': s.a, 'b': units - 1}}] ELSE [] END AS done FROM f),
+h AS (SELECT doc_id, texts, len(done) AS total, unnest(range(len(done))) AS chunk_index, unnest(done) AS r FROM g),
+o AS (SELECT doc_id, chunk_index, total, array_to_string(texts[r.a + 1 : r.b + 1], ' ') AS content FROM h)
+SELECT doc_id, chunk_index::INT AS chunk_index, content, '' AS section_title, '' AS section_path, len(string_split(content, ' '))::INT AS token_count, content AS embed_text,
+'{{"block_type": "paragraph", "block_types": ["paragraph"], "chunk_content_length": ' || strlen(content) || ', "chunk_index": ' || chunk_index || ', "chunk_token_count": ' || len(string_split(content, ' ')) ||
+', "document_title": "", "embed_text_tokens": ' || len(string_split(content, ' ')) || ', "heading_level": 0, "section_path": "", "section_title": "", "total_chunks": ' || total || ', "url": ""}}' AS metadata FROM o"""
+_FULL = "(o.a < x.i AND o.s + x.t > 400)"
+_HELD = f"(CASE WHEN {_FULL} THEN x.p ELSE o.s END + x.t)"
+SQL["chunk_documents"] = _CHUNKS.replace("{full}", _FULL).replace("{sum}", _HELD).replace("{first}", f"(CASE WHEN {_FULL} THEN x.i - 1 ELSE o.a END)").replace("{{", "{").replace("}}", "}")
+_GUIDE = "A first paragraph that goes over two lines of text."
+SQL["markdown_blocks"] = "SELECT doc_id, block_index, section_title, section_path, heading_level, type, text FROM (VALUES " + _lit([
+    (0, 0, "Guide", "Guide", 1, "paragraph", _GUIDE), (0, 1, "Guide", "Guide", 1, "paragraph", "Still in the guide, as an image names no section at all."),
+    (0, 2, "Deep link", "Guide > Deep link", 3, "list", "Install all of the tools; Configure them; Run"),
+    (1, 0, "", "", 0, "code", 'language: go\nfmt.Println("hello")'),
+    (2, 0, "", "", 0, "table", "name: alpha, value: [one](http://u). name: beta beta, value: two and more"), (2, 1, "", "", 0, "paragraph", "The text after the table is a paragraph."),
+    (3, 0, "", "", 0, "table", "a row, without any header. another row, of the same table"),
+    (4, 0, "", "", 0, "paragraph", "| one line alone is a paragraph | as it has no second |"),
+    (5, 0, "", "", 0, "paragraph", "A paragraph after a rule, long enough to be kept. 1. tabbed items are no items, so they are paragraphs"),
+    (6, 0, "Two", "Two", 2, "paragraph", "Text of the second level, without a first one above it."), (6, 1, "One", "One", 1, "paragraph", "Text of the first level, which comes after the second."),
+    (6, 2, "Three", "One > Three", 3, "paragraph", "Text of the third level, with a gap above it in the path."),
+    (7, 0, "", "", 0, "code", "code comes before the table above it"), (7, 1, "", "", 0, "table", "a: the first cell, b: the second cell"),
+]) + ") t(doc_id, block_index, section_title, section_path, heading_level, type, text)"
+SQL["html_literal_blocks"] = "SELECT page_id, block_index, 'markdown' AS clean_method, section_title, section_path, heading_level, type, text FROM (VALUES " + _lit([
+    (0, 0, "Introduction", "Introduction", 1, "paragraph", "This is a sufficiently long paragraph to verify the first way of extraction."),
+    (1, 0, "Install", "Guide > Install", 2, "list", "Install all of the dependencies; Configure the environment"), (1, 1, "Run", "Guide > Install > Run", 3, "code", 'language: go\nfmt.Println("hello, this is code")'),
+    (2, 0, "", "", 0, "paragraph", "Text after scripts & menus, which is long enough to stay here."),
+    (3, 0, "", "", 0, "table", "name: alpha beta, value: gamma delta epsilon"),
+]) + ") t(page_id, block_index, section_title, section_path, heading_level, type, text)"
+for _name in ("markdown_blocks", "html_literal_blocks"):
+    SQL[_name] = SQL[_name].replace("SELECT doc_id,", "SELECT doc_id::BIGINT AS doc_id,").replace("SELECT page_id,", "SELECT page_id::BIGINT AS page_id,")
 SQL["token_counts_words"] = r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INT AS n_tokens FROM documents"
 def _lines(columns: str) -> str:
     from siltwork.plans.catalogue import LINES
@@ -285,7 +331,7 @@ UNION ALL SELECT -1, * FROM (VALUES {_lit(enumerate(LINES))}) v(pos, line)) SELE
 def _text_rules() -> dict[str, str]:
     from siltwork.plans.catalogue import LISTS
 
-    item = r"'^(?:[-*+] |\d+\.\s+)(.*)$'"
+    item = r"CASE WHEN regexp_matches(line, '^[-*+] ') THEN substr(line, 3) WHEN regexp_matches(line, '^\d+\.\s+') AND strpos(line, '. ') BETWEEN 1 AND length(line) - 2 THEN substr(line, strpos(line, '. ') + 2) END"
     separator = r"'^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?$'"
     links = r"regexp_replace(regexp_replace(line, '!\[[^\]]*\]\([^)]+\)', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
     steps = "list_transform(string_split(replace(text, ';', chr(10)), chr(10)), lambda x: " + _strip("x") + ")"
@@ -295,8 +341,8 @@ def _text_rules() -> dict[str, str]:
     steps = f"list_filter(list_transform({steps}, lambda x: {_strip(numbered)}), lambda x: x <> '')"
     labels = "SELECT doc_id, trim(coalesce(CASE WHEN doc_id % 3 > 0 THEN source || ' ' END, '')) AS t, trim(coalesce(CASE WHEN doc_id % 2 = 0 THEN lang ELSE ' ' END, '')) AS p FROM documents"
     return {
-        "table_lines": _lines(f"regexp_matches(line, {separator}) OR (line LIKE '|%|' AND length(line) > 1 AND len(string_split(regexp_replace(line, '^\\||\\|$', '', 'g'), '|')) >= 2) AS is_table"),
-        "list_item_lines": _lines(f"CASE WHEN regexp_matches(line, {item}) THEN trim(regexp_extract(line, {item}, 1)) END AS item"),
+        "table_lines": _lines(f"regexp_matches(line, {separator}) OR (line LIKE '|%|' AND length(line) > 1 AND contains(trim(line, '|'), '|')) AS is_table"),
+        "list_item_lines": _lines(f"trim(regexp_replace({links.replace('line', item)}, '{_SPACE}', ' ', 'g')) AS item"),
         "normalize_markdown": _lines(f"trim(regexp_replace({links}, '{_SPACE}', ' ', 'g')) AS text"),
         "list_split": f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_lit((-1 - k, x) for k, x in enumerate(LISTS))}) v(doc_id, text)),
 l AS (SELECT doc_id, {steps} AS l, {_strip('text')} AS whole FROM d), m AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [whole] END AS l FROM l)
