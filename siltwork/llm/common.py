@@ -34,10 +34,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/siltwork/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back, which cuts its lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siltwork_path = path
     return out

@@ -296,5 +296,5 @@ def apply_edits(
 
 def count_edits(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", keep_trees: bool = False) -> DataFrame:
     """Token counts before and after redaction: trees of all texts as a table in the shared folder, then its edits."""
-    trees = saved(build_trees(docs, ranks_path, pattern, id_column, text_column), "edit-trees")
+    trees = saved(build_trees(docs, ranks_path, pattern, id_column, text_column), "edit-trees", "zstd")
     return apply_edits(trees, ranks_path, pattern, id_column=id_column, keep_trees=keep_trees)
