@@ -2,6 +2,14 @@
 
 Stages take (spark, docs, sf_dir) and return a frame; all but the last return the columns of documents. Rejected
 documents are gone for good. Labels come from ``labels`` in ``sf_dir``; models are trained on the stage's own input.
+
+Defined cases, for every stage: extra columns are kept and may have any name but those beginning with ``__sw_``; an empty
+table gives an empty table; whole texts count, however long. Null and empty texts go in the first stage (they have no
+letter); a stage that gets them all the same scores them by the classifier's bias, holds them as equal texts of an
+empty set of shingles, gives them no words in the mix, and encodes them as begin and end. Null languages, sources and
+labels are not learned from; a null source is a source of its own. Null ids are documents like others and come last
+where the smallest id decides. Rows that repeat id and text are judged alike, count as one in the near-dedup, and
+share their copies in the mix. Ties go to the first language by name, to label 1 at a score of 0.5, and to the smallest id.
 """
 
 from __future__ import annotations
