@@ -427,6 +427,22 @@ def test_pixels_equal_the_plain_transform():
     assert np.abs(plain.reshape(-1) - layout.pixels(coefficients)[0]).max() <= 1
 
 
+def test_frames_equal_an_independent_decoder(spark):
+    """Java's own JPEG reader sees the pixels that our decoder sees."""
+    jvm = spark._jvm
+    r = np.random.default_rng(6)
+    payload = np.concatenate([r.integers(120, 136, (2, 576)), np.frombuffer(avi.pad("Text é 日本 ".encode() * 40), "u1")[: 576].reshape(1, 576)]).astype("u1")
+    for frame in avi.encode_frames(payload):
+        layout = avi.Layout(frame)
+        ours = layout.pixels(layout.coefficients([frame]))[0].reshape(9, 8, 8)
+        image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytes(frame)))
+        raster = image.getRaster()
+        assert (image.getWidth(), image.getHeight(), raster.getNumBands()) == (24, 24, 1)
+        theirs = np.array([[raster.getSample(x, y, 0) for x in range(24)] for y in range(24)])
+        blocks = theirs.reshape(3, 8, 3, 8).transpose(0, 2, 1, 3).reshape(9, 8, 8)
+        assert np.abs(ours.astype(int) - blocks).max() <= 2
+
+
 def test_shots_and_clips(spark):
     dark, light = b"a" * 576, b"\xf0" * 576
     media = avi.store([dark * 20 + light * 15 + dark * 10])[0]

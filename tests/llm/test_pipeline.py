@@ -65,3 +65,21 @@ def test_run(spark, data_dir, stages):
     out = corpus_pipeline.run(spark, data_dir).collect()
     key = lambda rows: sorted((r.doc_id, r.ids_sha256) for r in rows)
     assert key(out) == key(stages[5].collect()) and np.all([r.n_tokens >= 2 for r in out])
+
+
+def test_stages_on_odd_rows_and_an_empty_table(spark, data_dir):
+    """Nulls in any column, empty and long texts, repeats, null ids and extra columns with clashing names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, salt string, copies string, label string"
+    odd = [
+        (1, None, "en", "a"), (2, "", None, None), (3, "word " * 30000, "en", "a"), (4, "the same text twice over and over", "fr", "b"), (4, "the same text twice over and over", "fr", "b"),
+        (None, "no id here at all", "en", None), (6, " \t\n", "de", ""), (4, "another text under the same id", "xx", "b"),
+    ]
+    docs = spark.createDataFrame([(*r, None, "x", "x", "x", "x") for r in odd], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data_dir)
+        assert out.count() <= 3 * len(odd), name
+        if name != "sentencepiece":
+            assert out.columns == docs.columns and out.schema == docs.schema
+        assert stage(spark, docs.limit(0), data_dir).count() == 0, name
+    kept = corpus_pipeline.near_dedup(spark, docs, data_dir).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:7]) for r in kept) == [(0, "no id h"), (1, ""), (3, "word wo"), (4, "another"), (4, "the sam")]
