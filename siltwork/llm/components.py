@@ -11,31 +11,40 @@ from siltwork.llm.common import Scratch, discard, saved
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the component's smallest node.
 
-    Large-star and small-star rounds turn the links into one star a component, in about log n rounds. Every round
-    reads and writes shared tables. Minima are pre-aggregated in each task, and both sides of the joins are plain
-    scans, so that Spark can broadcast a small side or split a node with very many links.
+    Large-star and small-star rounds turn the links into one star a component, in about log n rounds, and end as soon as
+    the links are stars. Every round reads and writes shared tables. Minima are pre-aggregated in each task, and both
+    sides of the joins are plain scans, so that Spark can broadcast a small side or split a node with very many links.
     """
     links = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct()
     links = saved(links, name)
-    state = _state(links)
     for _ in range(most_rounds):
-        if not state[0]:
+        if _are_stars(links):
             break
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, lambda: both.where("v > u"), name)
         small = _star(large, lambda large=large: large, name, keep_centre=True)
         discard(links)
         discard(large)
-        links, before = small, state
-        state = _state(links)
-        if state == before:
-            break
+        links = small
     else:
         raise RuntimeError("components did not settle")
     stars = links.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return stars.unionByName(links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
+def joined(stars: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with the links of ``stars``, a result of ``components`` that they extend."""
+    return stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges)
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every larger end v has one link and is no other link's smaller end."""
+    ends = links.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    crossed = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 0 and up + down > 1")
+    return not crossed.agg(F.count(F.lit(1))).first()[0]
+
+
 def _star(links: DataFrame, moved, name: str, keep_centre: bool = False) -> DataFrame:
     """Links (u, v) hung on the smallest of v, u and u's neighbours; for the small star u is the larger end."""
     if keep_centre:
@@ -52,11 +61,6 @@ def _star(links: DataFrame, moved, name: str, keep_centre: bool = False) -> Data
     return out
 
 
-def _state(links: DataFrame) -> tuple:
-    mixed = F.xxhash64("u", "v")
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.sum(F.pmod(mixed, F.lit(1 << 31)))).first())
-
-
 def cells(rows: DataFrame, key: list[str], member: Column, limit: int, name: str) -> DataFrame:
     """``rows`` with cell_i, cell_j and shard: each two members of a bucket meet in a cell, and no cell is large.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.common import Scratch, saved, slices
-from siltwork.llm.components import components, open_buckets
+from siltwork.llm.components import components, joined, open_buckets
 from siltwork.llm.rows import Sieve, keep_firsts, rows_of
 from siltwork.llm.simhash import near_groups
 
@@ -205,15 +205,15 @@ def near_sets(docs: DataFrame, rows: DataFrame, words: int, id_column: str, text
         texts = rows_of(texts, asked, "id", "text", ("entry",)).select("entry", "text")
         sets = held.saved(shingle_sets(texts, words), "jaccard-sets")
 
-        links = [held.saved(_checked(tried, sets), "jaccard-links")]
+        links = held.saved(_checked(tried, sets), "jaccard-links")
         others = shared.where("entry <> first").select("key", F.col("entry").alias("member"), "size")
-        roots = held.saved(components(links[0], "jaccard-components"), "jaccard-roots")
+        roots = held.saved(components(links, "jaccard-components"), "jaccard-roots")
         labelled = others.join(roots.withColumnRenamed("node", "member"), "member", "left").select("key", "member", F.coalesce("root", "member").alias("root"), "size")
         cells = open_buckets(held.saved(labelled, "jaccard-labelled"), ["key"], F.col("size") + 1, BUDGET, held, "jaccard-open").drop("size")
         met = cells.join(sets.select(F.col("entry").alias("member"), "shingles"), "member")
         met = met.repartition("key", "shard").sortWithinPartitions("key", "shard", "role").select("key", "shard", "role", "member", "root", "shingles")
-        links.append(held.saved(met.mapInArrow(_linker, "a long, b long"), "jaccard-links"))
-        roots = held.saved(components(links[0].union(links[1]), "jaccard-components"), "jaccard-roots")
+        links = held.saved(met.mapInArrow(_linker, "a long, b long"), "jaccard-links")
+        roots = held.saved(components(joined(roots, links), "jaccard-components"), "jaccard-roots")
         named = entries.join(roots.withColumnRenamed("node", "entry"), "entry", "left").select("entry", "least", F.coalesce("root", "entry").alias("root"))
         named = held.saved(named, "jaccard-named")
         least = held.saved(roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component")), "jaccard-least")

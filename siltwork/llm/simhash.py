@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.common import Scratch, map_texts, saved, slices
-from siltwork.llm.components import components, open_buckets
+from siltwork.llm.components import components, joined, open_buckets
 from siltwork.llm.rows import keep_firsts
 
 LIMIT = 2048
@@ -235,8 +235,8 @@ def near_groups(rows: DataFrame, radius: int = 4, limit: int = LIMIT) -> DataFra
         if not hot.isEmpty():
             named = large.select(*key, F.col("fp").alias("member")).join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
             again = open_buckets(named, key, F.lit(1), limit, held, "simhash-open").withColumnRenamed("member", "fp")
-            found = found.unionByName(held.saved(_links(again, radius), "simhash-links"))
-            roots = held.saved(components(found, "simhash-components"), "simhash-roots")
+            found = held.saved(_links(again, radius), "simhash-links")
+            roots = held.saved(components(joined(roots, found), "simhash-components"), "simhash-roots")
         named = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
         named = held.saved(named, "simhash-named")
         least = held.saved(roots.select("root").distinct().join(named, "root").groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
