@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siltwork.llm import avi, edits, langid, mixing, pieces, pstable, quality, queries, simhash, urlfilter, warc
 from siltwork.llm.components import components
+from siltwork.llm.components import joined as with_stars
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, score string, size string, component_id string, fp string"
 ODD = [
@@ -640,6 +641,27 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {got[k] for k in range(100, 161)} == {100} and {got[k] for k in (5, 1000, 1299)} == {5} and 9 not in got
 
 
+def test_components_of_random_links_and_of_links_added_later(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(130)] + [(7, 7), (1, 2), (2, 1), (1, 2)]
+    later = [(rng.randrange(-150, 200), rng.randrange(-150, 200)) for _ in range(60)]
+
+    def wanted(links):
+        top = {k: k for pair in links for k in pair}
+        for _ in top:
+            for a, b in links:
+                top[a] = top[b] = min(top[a], top[b])
+        return {k: r for k, r in top.items() if any(k in pair and pair[0] != pair[1] for pair in links)}
+
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    got = lambda found: sorted((r.node, r.root) for r in found.collect())
+    first = components(frame(edges))
+    assert got(first) == sorted(wanted(edges).items())
+    assert got(components(with_stars(first, frame(later)))) == sorted(wanted(edges + later).items())
+    assert got(components(with_stars(first, frame(later).limit(0)))) == got(first)
+    assert got(components(frame(edges).limit(0))) == []
+
+
 # --- 9, embeddings ---
 
 
