@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import datetime
 import math
+import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +190,50 @@ def test_nearest_in_blocks(spark):
     assert search.search_many(vectors, queries.limit(0), 4).count() == 0 and search.search_many(vectors.limit(0), queries, 4).count() == 0
 
 
+def brute_nearest(vectors, queries, k, other_than_self=False, allowed=lambda q, v: True):
+    """(query_id, rank, chunk_id, distance) by a loop over all pairs; pairs without a distance come last."""
+    out = []
+    unit = lambda v: np.array(v, float) / np.sqrt(np.dot(v, v)) if np.any(v) else np.full(len(v), np.nan)
+    rows = [(v, unit(e)) for v, e in vectors]
+    for q, e in queries:
+        m = unit(e)
+        found = sorted((math.inf if np.isnan(d) else float(d), v) for v, x in rows if allowed(q, v) and not (other_than_self and v == q) for d in [np.round(1 - m @ x, 12)])
+        out += [(q, n + 1, v, str(d)) for n, (d, v) in enumerate(found[:k])]
+    return out
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_nearest_equals_brute_force_on_copies_and_zero_vectors(other):
+    """Copies in falling and mixed order of ids, zero vectors and zero queries, over several batches and tiles."""
+    random = np.random.default_rng(1)
+    some = random.integers(-2, 3, (40, 3)).astype(float)
+    some[:2] = 0
+    vectors = [(int(v), some[random.integers(0, 40)].tolist()) for v in [*range(3000, 2000, -1), *random.permutation(2000)]]
+    queries = [(v, e) for v, e in vectors if v % 100 == 0]
+    asked = pa.table({"query_id": pa.array([q for q, _ in queries]), "query": pa.array([e for _, e in queries], pa.list_(pa.float32()))})
+    rows = pa.table({"id": pa.array([v for v, _ in vectors]), "embedding": pa.array([e for _, e in vectors], pa.list_(pa.float32()))})
+    found = pa.Table.from_batches(search._nearest(asked, 7, other, [])(iter(rows.to_batches(max_chunksize=700)))).to_pylist()
+    ours = sorted((r["query_id"], math.inf if math.isnan(r["distance"]) else r["distance"], r["chunk_id"]) for r in found)
+    assert [(q, v, str(d)) for q, d, v in ours] == [(q, v, d) for q, _, v, d in sorted(brute_nearest(vectors, queries, 7, other))]
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_memory_of_nearest_does_not_grow_with_rows_and_queries(other):
+    """A block of queries with an Arrow batch would be a matrix of 164 MB, and ranking it whole several of them."""
+    random = np.random.default_rng(2)
+    lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 4).cast(pa.list_(pa.float64()))
+    x = random.normal(size=(10_000, 4))
+    asked = pa.table({"query_id": pa.array(range(2048)), "query": lists(x[:2048])})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), lists(x)], names=["id", "embedding"])
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(search._nearest(asked, 5, other, [])(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+    assert found.num_rows == 5 * 2048
+
+
 def test_log_scan(spark, tmp_path):
     (tmp_path / "log").write_text('x msg="pipeline: cleaned" method=markdown\nx msg="pipeline: cleaned" method=legacy\nother method=markdown\nx msg="pipeline: cleaned" method=markdown\n')
     assert {(r.method, r.n, r.percent) for r in cleaned_methods(spark, str(tmp_path / "log")).collect()} == {("markdown", 2, 66.67), ("legacy", 1, 33.33)}
