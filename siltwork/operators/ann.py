@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltwork.functions.expr import cosine_distance
+from siltwork.operators.search import _matrix, search_many
 
 
 def centres(vectors: DataFrame, n: int, sample: int = 20_000, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -18,10 +19,11 @@ def centres(vectors: DataFrame, n: int, sample: int = 20_000, rounds: int = 12,
     total = vectors.count()
     place = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = vectors.where(F.col("embedding").isNotNull() & (place < F.lit(sample / max(total, 1)))).orderBy("id").select("embedding").limit(2 * sample).toArrow()
-    x = np.array(rows.column(0).to_pylist(), float)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    lists = rows.column(0).combine_chunks()
+    x = _matrix(lists, pc.max(pc.list_value_length(lists)).as_py() or 0)
+    x = x[~np.isnan(x).any(1)]
     c = x[np.random.default_rng(seed).permutation(len(x))[:n]]
-    for _ in range(rounds):
+    for _ in range(rounds if len(c) else 0):
         own = (x @ c.T).argmax(1)
         for k in range(len(c)):
             if (own == k).any():
@@ -31,15 +33,17 @@ def centres(vectors: DataFrame, n: int, sample: int = 20_000, rounds: int = 12,
 
 
 def assign(vectors: DataFrame, c: np.ndarray, probes: int = 1) -> DataFrame:
-    """The rows with ``cell``: their nearest centre, or for queries one row for each of the nearest ``probes``."""
+    """The rows with ``cell``: their nearest centre, or for queries one row for each of the nearest ``probes``.
+
+    A vector without a direction goes to the first cell.
+    """
     names = vectors.columns
     at = names.index("embedding") if "embedding" in names else names.index("query")
     kind = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, -1)
-            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes] if b.num_rows else np.zeros((0, probes), int)
+            near = np.argsort(-(_matrix(b.column(at), c.shape[1]) @ c.T), axis=1, kind="stable")[:, :probes]
             rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
             taken = b.take(rows)
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near.ravel().astype(np.int32))], names=[*names, "cell"])
@@ -48,12 +52,12 @@ def assign(vectors: DataFrame, c: np.ndarray, probes: int = 1) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, c: np.ndarray, k: int, probes: int) -> DataFrame:
-    """(query_id, chunk_id, distance, rank): only the probed cells are joined; ranks are filtered in each task first."""
-    asked = assign(queries, c, probes)
-    pairs = index.join(asked, "cell")
-    rows = pairs.select("query_id", F.col("id").alias("chunk_id"), cosine_distance(F.col("embedding"), F.col("query")).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """(query_id, chunk_id, distance, rank): a block of queries is multiplied with the rows of the cells it probes only.
+
+    Memory and ranks are those of ``search_many``: k rows a query leave a task, and no pair is a row.
+    """
+    near = search_many(index, queries, k, probed=lambda q: np.argsort(-(q @ c.T), axis=1, kind="stable")[:, :probes])
+    return near.select("query_id", "chunk_id", "distance", "rank")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltwork.functions import expr
-from siltwork.operators import mutations, relational, search
+from siltwork.operators import ann, mutations, relational, search
 from siltwork.plans.catalogue import QUERIES
 from siltwork.plans.oracles import oracle_sql
 from siltwork.sources.fetch import cleaned_methods, fetch_pages
@@ -234,6 +234,25 @@ def test_memory_of_nearest_does_not_grow_with_rows_and_queries(other):
     assert found.num_rows == 5 * 2048
 
 
+def test_cells_meet_the_queries_that_probe_them(spark):
+    """The inverted file against a loop over the pairs whose cell is probed; no pair becomes a row of the plan."""
+    random = np.random.default_rng(3)
+    rows = [(k, random.normal(size=4).tolist()) for k in range(300)] + [(300, [0.0] * 4)]
+    vectors = spark.createDataFrame([*rows, (301, None)], "id long, embedding array<double>")
+    queries = vectors.where("id % 20 = 0 and id < 300").selectExpr("id AS query_id", "embedding AS query")
+    c = ann.centres(vectors, 6)
+    index = ann.assign(vectors, c)
+    found = ann.search(index, queries, c, 5, probes=2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cell = {r.id: r.cell for r in index.collect()}
+    probed: dict[int, set[int]] = {}
+    for r in ann.assign(queries, c, 2).collect():
+        probed.setdefault(r.query_id, set()).add(r.cell)
+    expected = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0 and r[0] < 300], 5, allowed=lambda q, v: cell[v] in probed[q])
+    assert sorted((r.query_id, r["rank"], r.chunk_id, round(r.distance, 9)) for r in found.collect()) == [(q, n, v, round(float(d), 9)) for q, n, v, d in sorted(expected)]
+    assert len(cell) == 302 and ann.centres(vectors.limit(0), 6).shape == (0, 0)
+
+
 def test_log_scan(spark, tmp_path):
     (tmp_path / "log").write_text('x msg="pipeline: cleaned" method=markdown\nx msg="pipeline: cleaned" method=legacy\nother method=markdown\nx msg="pipeline: cleaned" method=markdown\n')
     assert {(r.method, r.n, r.percent) for r in cleaned_methods(spark, str(tmp_path / "log")).collect()} == {("markdown", 2, 66.67), ("legacy", 1, 33.33)}
